@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorevine.llm import fuse, leaks, markup, mojibake, neighbours, packing
 from lorevine.llm.history_dedup import HistoryDedup
 from lorevine.llm.near_dup import group_pairs, near_duplicates
 from lorevine.llm.set_join import all_pairs, item_sets, note_items
-from lorevine.runtime import scratch, table
+from lorevine.runtime import cut, scratch, table
 
 #: What the project states for repeated note details: words of a shingle, similarity, fewest words.
 DETAIL_WORDS, DETAIL_SIMILARITY, DETAIL_LEAST = 3, 0.6, 20
@@ -29,11 +30,68 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_pairs(item_sets(details, "rec_id", note_items(), 6), 0.6)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = neighbours.entry_vectors(table(spark, sf_dir, "cache_entries"), 96)
+    near = neighbours.nearest(vectors, 5, 0.85)
+    return near.select(F.least("key", "near").alias("vec_a"), F.greatest("key", "near").alias("vec_b")).distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     details = table(spark, sf_dir, "note_details")
     members, _ = near_duplicates(details, "rec_id", ["title", "body"], DETAIL_WORDS, DETAIL_SIMILARITY, DETAIL_LEAST)
     return group_pairs(members)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found}
+#: Hit lists that rate a note, and all its scores.
+LISTS = ["keyword", "semantic", "rerank"]
+SCORES = [*LISTS, "importance"]
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse.fused(fuse.search_scores(table(spark, sf_dir, "search_results"), table(spark, sf_dir, "notes"), LISTS), "query_id", "id", SCORES)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse.leaders(_fused(spark, sf_dir), "query_id", "id", SCORES)
+
+
+def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All notes of all queries in one ranking."""
+    return fuse.ranked(_fused(spark, sf_dir), "query_id", "id").select("query_id", "rank", "id", F.round("fused", 6).alias("fused"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = markup.cleaned(table(spark, sf_dir, "note_details"), "rec_id", "body")
+    return clean.where(F.size("kinds") > 0).select(F.col("key").alias("rec_id"))
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean text of every record."""
+    return markup.cleaned(table(spark, sf_dir, "note_details"), "rec_id", "body").select(F.col("key").alias("rec_id"), "clean_text", F.array_join("kinds", ", ").alias("kinds"))
+
+
+#: Tokens of a container.
+CAPACITY = 2048
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = cut(packing.sized(table(spark, sf_dir, "documents"), "doc_id", "text"), "sizes")
+    return packing.packed(sizes, CAPACITY).withColumnRenamed("key", "doc_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = leaks.leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", 0.5)
+    return hits.where("shared >= 0.5").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"))
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled documents with their restored text and what was wrong."""
+    return mojibake.garbled(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "restored", F.array_join("wrong", ", ").alias("wrong"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p6_found, p6_ranking, p7_found, p7_clean, p8_packed, p9_found, p10_found, p10_restored)}
 ORACLES: dict[str, str] = {}
