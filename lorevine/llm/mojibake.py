@@ -79,6 +79,14 @@ def _again(c: str) -> str:
     return c if c in "ÃÂâÄÅĂĹÐÑÎÏÂ€œžŸšƒ†‡ˆ‰Š‹ŒŽ˜¦¨¤´¸¬¯" else ""
 
 
+def _nested(text: str) -> bool:
+    """Whether what was decoded is itself UTF-8 misread, and plausible once decoded again."""
+    raw = text.translate(_MAPS["cp1252"])
+    spans = list(UTF8.finditer(raw))
+    rest = "".join(text[a:b] for a, b in zip([0, *[m.end() for m in spans]], [*[m.start() for m in spans], len(text)], strict=True))
+    return bool(spans) and _plausible("".join(m[0].encode("latin-1").decode("utf-8") for m in spans) + rest, False)
+
+
 @lru_cache(maxsize=200_000)
 def _spans(run: str, encoding: str) -> tuple[tuple[int, int, str], ...]:
     """Well-formed spans of one run of characters beyond ASCII, with what they decode to."""
@@ -86,7 +94,7 @@ def _spans(run: str, encoding: str) -> tuple[tuple[int, int, str], ...]:
     found = []
     for m in UTF8.finditer(raw):
         text = m[0].encode("latin-1").decode("utf-8")
-        if _plausible(text, len(text) >= 2):
+        if _plausible(text, len(text) >= 2) or _nested(text):
             found.append((m.start(), m.end(), text))
     return tuple(found)
 
@@ -142,51 +150,65 @@ _JOIN = frozenset("’‘“”«»„‚‹›…–—· ­​  ­²³°
 _BOX = frozenset(chr(c) for c in range(0x2500, 0x25A0))
 
 
+#: Raised figures before a letter, and opening marks between letters.
+MIDWORD = re.compile(r"[²³¹](?=[^\W\d_²³¹])|(?<=[^\W\d_])[¿¡](?=[^\W\d_])")
+#: How a word is wrong: not at all, by a letter that none of the languages has, or in a way that no language has.
+FINE, FOREIGN, WRONG = (0, 0), (0, 2), (3, 0)
+
+
 @lru_cache(maxsize=200_000)
-def _word_bad(word: str) -> int:
-    """0 if the word is possible, else how suspicious it is."""
+def _word_bad(word: str) -> tuple[int, int]:
+    """How suspicious a word is: in any text, and in text whose words are not English (a foreign name may stand in English text)."""
+    if MIDWORD.search(word):
+        return WRONG
     beyond = [c for c in word if c > "\x7f" and c not in _JOIN]
     if not beyond:
-        return 0
+        return FINE
     if any("\x80" <= c <= "\x9f" for c in beyond):
-        return 3
-    letters = [c for c in word if c.isalpha() and c not in "ªº"]
-    signs = [c for c in beyond if not c.isalpha()]
-    if signs:
-        if not letters:
-            return 0
-        # a sign amid or right at letters: box drawings, fractions and the like do not stand there
-        return 2 if any(c in _BOX or c in "³¹¼¾½¸´¨¯÷·¬¤¦×±¶§†‡ˆ˜˝˛ˇ˘¢£¥µ‰∂∫≈√∑∏◊∞≠≤≥" for c in signs) else 1
+        return WRONG
+    letters = [c for c in word if c.isalpha() and c not in "ªºµ"]
+    signs = [c for i, c in enumerate(word) if c in beyond and not c.isalpha() and not (i == 0 and c in "×±≤≥≈∞√∑∏∂∫§¶£¥¢")]
+    if signs and letters and any(c in _AMID or c in _BOX for c in signs):
+        return WRONG  # box drawings, fractions and the like do not stand amid letters or right at them
     used = {c for c in letters if c > "\x7f"}
-    for k, allowed in _SETS.items():
-        if used <= allowed:
-            if k in ("ru", "el") and any(c < "\x80" for c in letters):
-                return 2
-            break
-    else:
-        return 2
+    fits = next((k for k, allowed in _SETS.items() if used <= allowed), None)
+    if fits in ("ru", "el") and any(c < "\x80" for c in letters):
+        return WRONG
     pure = "".join(letters)
     if len(pure) > 1 and not (pure.islower() or pure.isupper() or (pure[0].isupper() and pure[1:].islower()) or any(c.isupper() and c < "\x80" for c in pure[1:])):
-        return 2  # capitals beyond ASCII amid small letters
-    return 0
+        return WRONG  # capitals beyond ASCII amid small letters
+    return FINE if fits or not used else FOREIGN
+
+
+_AMID = frozenset("³¹¼¾½¸´¨¯÷·¬¤¦×±¶§†‡ˆ˜˝˛ˇ˘¢£¥‰∂∫≈√∑∏◊∞≠≤≥")
 
 
 @lru_cache(maxsize=200_000)
-def _token_bad(token: str) -> int:
-    return sum(_word_bad(m[0]) for m in WORD.finditer(token))
+def _token_bad(token: str) -> tuple[int, int]:
+    both = [_word_bad(m[0]) for m in WORD.finditer(token)]
+    return sum(a for a, _ in both), sum(b for _, b in both)
+
+
+# Words that show a line to be English.
+ENGLISH = re.compile(r"\b(?:the|The|of|and|with|for|was|is|a|to)\b")
 
 
 def suspicion(text: str) -> int:
     """Suspicious words of a text, weighted; only tokens with characters beyond ASCII are looked at."""
     if text.isascii():
         return 0
-    bad = sum(_token_bad(t) for t in text.replace("\n", " ").split(" ") if not t.isascii())
+    tokens = [_token_bad(t) for t in text.replace("\n", " ").split(" ") if not t.isascii()]
+    bad = sum(a for a, _ in tokens)
+    if any(b for _, b in tokens):
+        for line in text.split("\n"):
+            if not line.isascii() and len(ENGLISH.findall(line)) < 2:
+                bad += sum(_token_bad(t)[1] for t in line.split(" ") if not t.isascii())
     return bad + (len(STRAY.findall(text)) if STRAYS.search(text) else 0)
 
 
-STRAYS = re.compile("[ûùñîòìáÿóï]")
-#: A letter alone between blanks that is no word of any of the languages, as a dash or bullet becomes it.
-STRAY = re.compile(r"(?<=[\w.,;)] )[ûùñîòì](?= \w)|(?<=\w):[áÿ]\w|[ìî]\w[\w -]{0,40}?[îï](?!\w)(?<=[a-z]î)")
+STRAYS = re.compile("[ûùñîòìáÿóïôö]")
+#: What dashes, blanks and quotation marks become: a letter alone between blanks that is no word of any of the languages, a letter stuck to the word after a colon, letters around a word.
+STRAY = re.compile(r"(?<=[\w.,;)] )[ûùñîòì](?= \w)|(?<=\w):[áÿ]\w|(?<!\w)ì\w[^ìî\n]{0,60}î(?!\w)|(?<!\w)ô\w[^ôö\n]{0,60}ö(?!\w)")
 
 
 def _pair(a: str, b: str) -> dict[int, str]:
