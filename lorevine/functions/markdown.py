@@ -37,26 +37,26 @@ def lines(content: Column) -> Column:
 
 def title(note_id: Column, content: Column) -> Column:
     """First ``# `` heading of the first 25 lines outside the block between the first two ``---`` lines; else the file name without ``.md``."""
-    head = F.slice(lines(content), 1, 25)
-    opens = F.array_position(head, "---")
-    after = F.array_position(F.slice(head, (opens + 1).cast("int"), 25), "---")
-    closes = F.when(after > 0, opens + after)
-    numbered = F.transform(head, lambda line, i: F.struct((i + 1).alias("i"), line.alias("line")))
-    outside = F.filter(numbered, lambda x: F.startswith(x["line"], F.lit("# ")) & ((opens == 0) | (x["i"] < opens) | F.coalesce(x["i"] > closes, F.lit(False))))
+    def step(acc: Column, line: Column) -> Column:
+        found = acc["title"].isNull() & (acc["fm"] != 1) & F.startswith(line, F.lit("# "))
+        rule = (acc["fm"] < 2) & (line == "---")
+        return F.struct((acc["fm"] + rule.cast("int")).alias("fm"), F.when(found, trim_control(F.substr(line, F.lit(3)))).otherwise(acc["title"]).alias("title"))
+
+    # fm counts the rules seen: one means inside the front matter
+    start = F.struct(F.lit(0).alias("fm"), F.lit(None).cast("string").alias("title"))
     name = F.regexp_replace(F.regexp_replace(note_id, r"^.*/", ""), r"\.md$", "")
-    return F.coalesce(trim_control(F.substr(F.get(outside, F.lit(0))["line"], F.lit(3))), name)
+    return F.coalesce(F.aggregate(F.slice(lines(content), 1, 25), start, step)["title"], name)
 
 
 def frontmatter_int(content: Column, field: str) -> Column:
     """First parsable whole number of ``field`` between the first two ``---`` of the first 30 lines; 0 if there is none."""
-    head = F.slice(lines(content), 1, 30)
-    opens = F.array_position(head, "---")
-    rest = F.slice(head, (opens + 1).cast("int"), 30)
-    closes = F.array_position(rest, "---")
-    inside = F.when(opens == 0, F.array().cast("array<string>")).when(closes == 0, rest).otherwise(F.slice(rest, 1, (closes - 1).cast("int")))
-    values = F.transform(F.filter(inside, lambda x: F.startswith(x, F.lit(f"{field}:"))), lambda x: trim_control(F.substr(x, F.lit(len(field) + 2))))
-    numbers = F.filter(values, lambda x: F.regexp_like(x, F.lit(r"^[+-]?[0-9]{1,9}$")))
-    return F.coalesce(F.get(numbers, F.lit(0)).cast("int"), F.lit(0))
+    def step(acc: Column, line: Column) -> Column:
+        value = trim_control(F.substr(line, F.lit(len(field) + 2)))
+        found = acc["value"].isNull() & (acc["fm"] == 1) & F.startswith(line, F.lit(f"{field}:")) & F.regexp_like(value, F.lit(r"^[+-]?[0-9]{1,9}$"))
+        return F.struct((acc["fm"] + (line == "---").cast("int")).alias("fm"), F.when(found, value.cast("int")).otherwise(acc["value"]).alias("value"))
+
+    start = F.struct(F.lit(0).alias("fm"), F.lit(None).cast("int").alias("value"))
+    return F.coalesce(F.aggregate(F.slice(lines(content), 1, 30), start, step)["value"], F.lit(0))
 
 
 def tags(content: Column) -> Column:
@@ -130,12 +130,18 @@ def paragraphs(content: Column, least: int = LEAST_PARAGRAPH) -> Column:
 
 def section(content: Column, heading: str) -> Column:
     """The section under a heading (case ignored) with its deeper sub-headings, trimmed; null if there is no such heading."""
-    numbered = F.transform(lines(content), lambda x, i: F.struct((i + 1).alias("i"), x.alias("line"), F.length(F.regexp_extract(trim_control(x), "^(#*)", 1)).alias("level"), F.lower(trim_control(F.regexp_replace(trim_control(x), "^#+", ""))).alias("name")))
-    start = F.get(F.filter(numbered, lambda x: (x["level"] > 0) & (x["name"] == heading.strip().lower())), F.lit(0))
-    inside = F.filter(numbered, lambda x: (x["i"] > start["i"]) & (x["level"] > 0) & (x["level"] <= start["level"]))
-    end = F.coalesce(F.get(inside, F.lit(0))["i"], F.size(numbered) + 1)
-    part = F.filter(numbered, lambda x: (x["i"] >= start["i"]) & (x["i"] < end))
-    return F.when(start.isNotNull(), trim_control(F.array_join(F.transform(part, lambda x: x["line"]), "\n")))
+    def step(acc: Column, line: Column) -> Column:
+        t = trim_control(line)
+        level = F.length(F.regexp_extract(t, "^(#*)", 1))
+        begins = (acc["first"] == 0) & (level > 0) & (F.lower(trim_control(F.regexp_replace(t, "^#+", ""))) == heading.strip().lower())
+        ends = (acc["first"] > 0) & (acc["last"] == 0) & (level > 0) & (level <= acc["level"])
+        at = acc["i"] + 1
+        return F.struct(at.alias("i"), F.when(begins, at).otherwise(acc["first"]).alias("first"), F.when(begins, level).otherwise(acc["level"]).alias("level"), F.when(ends, acc["i"]).otherwise(acc["last"]).alias("last"))
+
+    zero = F.lit(0)
+    span = F.aggregate(lines(content), F.struct(zero.alias("i"), zero.alias("first"), zero.alias("level"), zero.alias("last")), step)
+    last = F.when(span["last"] == 0, span["i"]).otherwise(span["last"])
+    return F.when(span["first"] > 0, trim_control(F.array_join(F.slice(lines(content), span["first"], last - span["first"] + 1), "\n")))
 
 
 def summary_line(note_body: Column) -> Column:
@@ -158,7 +164,8 @@ def embed_text(note_title: Column, content: Column) -> Column:
 
 def strip_stop_words(content: Column, words: list[str] = FILTER_STOP_WORDS) -> Column:
     """Stop words removed, runs of blanks folded, trimmed."""
-    out = F.regexp_replace(text(content), r"(?i)\b(?:" + "|".join(words) + r")\b", "")
+    # word characters are the ASCII ones, whatever the Java version takes a word boundary for
+    out = F.regexp_replace(text(content), r"(?i)(?<![A-Za-z0-9_])(?:" + "|".join(words) + r")(?![A-Za-z0-9_])", "")
     return trim_control(F.regexp_replace(out, r"[ \t]{2,}", " "))
 
 

@@ -77,11 +77,20 @@ class IncrementStore:
         """Write ``output`` and publish it together with the new watermark; an empty window commits nothing."""
         if window.high is None:
             return None
+        self._expect(window)
+        folder = f"{self.path}/outputs/{uuid.uuid4().hex}"
+        output.write.parquet(folder)
+        return self.publish(folder, window)
+
+    def _expect(self, window: Window) -> dict:
         state = self.state()
         if state["watermark"] != window.low:
             raise RuntimeError(f"another run has moved the watermark from {window.low} to {state['watermark']}")
-        folder = f"{self.path}/outputs/{uuid.uuid4().hex}"
-        output.write.parquet(folder)
+        return state
+
+    def publish(self, folder: str, window: Window) -> str:
+        """Make a folder that is already written an output, together with the new watermark."""
+        state = self._expect(window)
         state = {"version": state["version"] + 1, "watermark": window.high, "outputs": [*state["outputs"], folder]}
         draft = self._path(f"{self.path}/manifests/draft-{uuid.uuid4().hex}")
         stream = self._fs.create(draft)

@@ -462,7 +462,7 @@ def mean_pool(spark, d):
 
 
 BOOST_SQL = f"""
-acc AS (SELECT id, count(*) AS accesses, epoch_ms(max(ts)) AS last_ms FROM access_log WHERE id IS NOT NULL GROUP BY id),
+acc AS (SELECT id, count(*) AS accesses, epoch_us(max(ts)) // 1000 AS last_ms FROM access_log WHERE id IS NOT NULL GROUP BY id),
 boosts AS (SELECT n.id, greatest(0, least(10, coalesce(n.importance, 0))) * 0.01::DOUBLE + CASE WHEN last_ms > 0 THEN greatest(0.0, 0.05::DOUBLE * (1.0 - ({NOW_MS} - last_ms) / 604800000.0::DOUBLE)) ELSE 0.0 END AS boost, accesses FROM notes n LEFT JOIN acc ON n.id = acc.id)"""
 
 
@@ -658,7 +658,7 @@ def snapshot_diff(spark, d):
     return mutate.snapshot_diff(state("batch_no <= 3"), state("batch_no >= 1"))
 
 
-@query("""WITH e AS (SELECT user_id, epoch_ms(ts) AS ms FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), g AS (SELECT user_id, ms, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) < 43200000 THEN 0 ELSE 1 END AS n FROM e),
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), g AS (SELECT user_id, ms, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) < 43200000 THEN 0 ELSE 1 END AS n FROM e),
 s AS (SELECT user_id, ms, sum(n) OVER (PARTITION BY user_id ORDER BY ms) AS session FROM g)
 SELECT user_id, CAST(session AS BIGINT) AS session, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS events FROM s GROUP BY user_id, session""")
 def debounce_sessions(spark, d):
