@@ -102,20 +102,12 @@ class HistoryDedup:
         self._frequency = None
 
     def _read(self, part: str, schema: str) -> DataFrame:
-        folders = [f"{x}" for x in self._folders(part)]
+        folders = self._folders(part)
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def _folders(self, part: str) -> list[str]:
-        """Folders of one part that committed batches have named in their output."""
-        return [f"{row}/{part}" for row in self._batches]
-
-    @property
-    def _batches(self) -> list[str]:
-        state = self.store.state()
-        if not state["outputs"]:
-            return []
-        rows = self.spark.read.schema("folder string").parquet(*state["outputs"]).collect()  # one short row for each batch
-        return sorted(r.folder for r in rows)
+        """Folders of one part, of the batches that were committed."""
+        return [f"{folder}/{part}" for folder in self.store.state()["outputs"]]
 
     def _frequencies(self, batch: DataFrame):
         """The frozen table: of the first batch that was committed, else of this one; at most ``FREQUENCY_BUCKETS`` numbers."""
@@ -141,7 +133,7 @@ class HistoryDedup:
         if low is not None and sequence <= low:
             raise ValueError(f"batch {sequence} does not follow {low}")
         folder = scratch(self.spark, "batch")
-        first = not self._batches
+        first = low is None
         sets = cut(shingled(records, key, self.text, self.k, self.least), "shingled")
         frequency = self._frequencies(sets)
         known = self._read("sets", "rec long, tokens array<long>, content string")
@@ -150,10 +142,11 @@ class HistoryDedup:
         seen = known.select("content", F.col("rec").alias("old"))
         heads = cut(heads.join(seen, "content", "left"), "heads")
         copies = sets.select("rec", "content").distinct().join(heads.select("content", F.coalesce("old", "head").alias("rep")), "content").where("rec <> rep").select(F.col("rec").alias("b"), F.col("rep").alias("a"))
-        fresh = heads.where("old IS NULL").select(F.col("head").alias("rec"), "seq", "tokens", "content")
-        fps = cut(fresh.select("rec", "seq").mapInArrow(_winnowing(frequency), "fp long, rec long, n int"), "fps")
-        part = F.expr(f"int(pmod(fp, {PARTITIONS}))")
-        distinct = fps.groupBy("fp").agg(F.count("*").alias("times")).withColumn("part", part)
+        # what this batch adds is written where it will stay; until the commit nothing refers to it
+        keep = heads.where("old IS NULL").select(F.col("head").alias("rec"), "seq", "tokens", "content")
+        fresh = self._kept(keep.select("rec", "tokens", "content"), f"{folder}/sets")
+        fps = self._kept(keep.select("rec", "seq").mapInArrow(_winnowing(frequency), "fp long, rec long, n int"), f"{folder}/fps")
+        distinct = fps.groupBy("fp").agg(F.count("*").alias("times")).withColumn("part", F.expr(f"int(pmod(fp, {PARTITIONS}))"))
         blooms = self._read("blooms", "part int, bits binary")
         maybe = cut(distinct.groupBy("part").cogroup(blooms.groupBy("part")).applyInPandas(_prescreen, "fp long"), "maybe")
         mine = fps.join(maybe, "fp", "left_semi")
@@ -166,13 +159,15 @@ class HistoryDedup:
         same = F.size(F.array_intersect("ta", "tb"))
         near = both.where(same >= F.lit(self.similarity - 1e-12) * (F.size("ta") + F.size("tb") - same)).select("a", "b")
         near.unionByName(copies.select("a", "b")).write.parquet(f"{folder}/links")
-        fresh.select("rec", "tokens", "content").write.parquet(f"{folder}/sets")
-        fps.write.parquet(f"{folder}/fps")
         distinct.select("part", "fp").groupBy("part").applyInPandas(_filter_of, "part int, bits binary").write.parquet(f"{folder}/blooms")
         if first:
             at = np.flatnonzero(self._table)
             self.spark.createDataFrame(pd.DataFrame({"b": at.astype(np.int32), "n": self._table[at]})).write.parquet(f"{folder}/frequency")
-        self.store.commit(self.spark.createDataFrame([(folder,)], "folder string"), Window(low, sequence))
+        self.store.publish(folder, Window(low, sequence))
+
+    def _kept(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def links(self) -> DataFrame:
         """``(a, b)`` with ``a < b``: a record and an earlier one it repeats; copies are linked to their representative."""

@@ -9,6 +9,7 @@ from lorevine.llm import fuse, leaks, markup, mojibake, neighbours, packing
 from lorevine.llm.history_dedup import HistoryDedup
 from lorevine.llm.near_dup import group_pairs, near_duplicates
 from lorevine.llm.set_join import all_pairs, item_sets, note_items
+from lorevine.plans.notes import norm_sql
 from lorevine.runtime import cut, scratch, table
 
 #: What the project states for repeated note details: words of a shingle, similarity, fewest words.
@@ -94,4 +95,41 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p6_found, p6_ranking, p7_found, p7_clean, p8_packed, p9_found, p10_found, p10_restored)}
-ORACLES: dict[str, str] = {}
+
+_LINKS = r"""
+w AS (SELECT rec_id, batch_no, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '[\p{L}\p{N}]+') AS w FROM note_details),
+s AS (SELECT DISTINCT rec_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 20),
+n AS (SELECT rec_id, count(*) AS n FROM s GROUP BY rec_id), p AS (SELECT x.rec_id AS a, y.rec_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.rec_id < y.rec_id GROUP BY x.rec_id, y.rec_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.rec_id = a JOIN n y ON y.rec_id = b WHERE c >= 0.6::DOUBLE * (x.n + y.n - c) - 1e-9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(node, other) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other)"""
+
+_VECTOR = "len(v) = 96 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0"
+
+ORACLES = {
+    "p1_found": f"WITH RECURSIVE {_LINKS}, f AS (SELECT node, min(other) AS first FROM r GROUP BY node) SELECT f.first AS first_rec_id, f.node AS rec_id FROM f WHERE f.node IN (SELECT b FROM l) AND f.node IN (SELECT rec_id FROM note_details WHERE batch_no >= 1)",
+    "p2_found": rf"""
+WITH i AS (SELECT rec_id, 't:' || lower(trim(regexp_replace(trim(t), '^#+', ''))) AS x FROM (SELECT rec_id, unnest(tags) AS t FROM note_details) WHERE t IS NOT NULL
+  UNION SELECT rec_id, 'l:' || {norm_sql('raw')} FROM (SELECT rec_id, unnest(wiki_links) AS raw FROM note_details) WHERE raw IS NOT NULL),
+k AS (SELECT rec_id, x FROM i WHERE x <> 't:'), n AS (SELECT rec_id, count(*) AS n FROM k GROUP BY rec_id HAVING count(*) >= 6),
+p AS (SELECT a.rec_id AS a, b.rec_id AS b, count(*) AS c FROM k a JOIN k b ON a.x = b.x AND a.rec_id < b.rec_id GROUP BY a.rec_id, b.rec_id)
+SELECT a AS rec_a, b AS rec_b FROM p JOIN n x ON x.rec_id = a JOIN n y ON y.rec_id = b WHERE c >= 0.6::DOUBLE * (x.n + y.n - c) - 1e-9""",
+    "p4_found": f"""
+WITH raw AS (SELECT entry_id * 100 AS key, id, embedding AS v FROM cache_entries UNION ALL SELECT entry_id * 100 + unnest(range(1, len(chunk_embeddings) + 1)), id, unnest(chunk_embeddings) FROM cache_entries),
+g AS (SELECT key, coalesce(id, '') AS id, CAST(v AS DOUBLE[]) AS v FROM raw WHERE {_VECTOR}), u AS (SELECT key, id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM g),
+c AS (SELECT a.key AS a, b.key AS b, list_dot_product(a.v, b.v) AS s FROM u a JOIN u b ON a.id <> b.id WHERE list_dot_product(a.v, b.v) >= 0.85),
+t AS (SELECT a, b FROM c QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM t""",
+    "p5_found": f"WITH RECURSIVE {_LINKS} SELECT node AS rec_a, other AS rec_b FROM r WHERE node < other",
+    "p6_found": """
+WITH h AS (SELECT query_id, id, list_name, max(score) FILTER (WHERE isfinite(score)) AS score FROM search_results WHERE query_id IS NOT NULL AND id IS NOT NULL AND list_name IN ('keyword', 'semantic', 'rerank') GROUP BY query_id, id, list_name),
+w AS (SELECT h.query_id, h.id, coalesce(max(score) FILTER (WHERE list_name = 'keyword'), -1e300) AS k, coalesce(max(score) FILTER (WHERE list_name = 'semantic'), -1e300) AS s, coalesce(max(score) FILTER (WHERE list_name = 'rerank'), -1e300) AS r,
+  coalesce(max(greatest(0, least(10, coalesce(n.importance, 0)))), 0) AS i FROM h LEFT JOIN notes n ON n.id = h.id GROUP BY h.query_id, h.id)
+SELECT a.query_id, a.id FROM w a LEFT JOIN w b ON a.query_id = b.query_id AND a.id <> b.id
+GROUP BY a.query_id, a.id HAVING coalesce(min(sign(a.k - b.k) + sign(a.s - b.s) + sign(a.r - b.r) + sign(a.i - b.i)), 1) > 0""",
+    "p9_found": r"""
+WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL), dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+it AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM iw), ig AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS g FROM it WINDOW o AS (PARTITION BY item_id ORDER BY i)) WHERE g IS NOT NULL),
+dt AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM dw), dg AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS g FROM dt WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE g IS NOT NULL),
+n AS (SELECT item_id, count(*) AS n FROM ig GROUP BY item_id)
+SELECT doc_id, ig.item_id FROM dg JOIN ig ON dg.g = ig.g JOIN n ON n.item_id = ig.item_id GROUP BY doc_id, ig.item_id, n.n HAVING count(*) >= 0.5 * n.n""",
+}

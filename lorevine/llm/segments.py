@@ -59,7 +59,6 @@ class _Batch:
     def __init__(self, batch: pa.RecordBatch):
         self.ids = batch.column("id").to_numpy(zero_copy_only=False)
         lists = batch.column("tokens")
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
         self.sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
         self.tokens = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         self.rows = np.repeat(np.arange(len(self.ids)), self.sizes)
@@ -82,6 +81,18 @@ def _keys(value: np.ndarray, mark: np.ndarray, deletion: bool) -> np.ndarray:
     return _mix(value * np.uint64(2) + np.uint64(deletion) + mark).view(np.int64)
 
 
+#: Sets that are worked on at once; bounds a worker's memory whatever the batch size.
+SLICE = 1000
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            b = _Batch(batch.slice(at, SLICE))
+            if len(b.tokens):
+                yield b
+
+
 _OUT = "key long, id long, size int"
 _SCHEMA = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32())])
 
@@ -93,10 +104,7 @@ def _emit(key, ids, sizes) -> pa.RecordBatch:
 def _index(t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        for batch in batches:
-            b = _Batch(batch)
-            if not len(b.tokens):
-                continue
+        for b in _slices(batches):
             bounds = class_bounds(int(b.sizes.max()))
             cls = np.searchsorted(bounds, b.sizes)
             counts = np.array([segment_count(int(x), t) for x in bounds])[cls]
@@ -111,10 +119,7 @@ def _probe(t: float, frequency, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         seen = frequency.value
-        for batch in batches:
-            b = _Batch(batch)
-            if not len(b.tokens):
-                continue
+        for b in _slices(batches):
             bounds = class_bounds(int(b.sizes.max()))
             share = np.minimum(1.0, seen[(b.tokens % np.uint64(len(seen))).astype(np.int64)] / max(total, 1))
             cls = np.searchsorted(bounds, b.sizes)
