@@ -28,8 +28,11 @@ from lorevine.runtime import cut, scratch
 
 #: Shingles in a winnowing window.
 WINDOW = 4
-#: Share of the smaller side's fingerprints that a pair has to have in common before it is verified.
-COVERAGE = 0.12
+#: Share of a new record's fingerprints that an earlier one has to hold before the pair is verified. Runs of ``WINDOW`` shared shingles give a fingerprint each, and a similarity
+#: of 0.6 leaves few breaks: on the project's tables no true pair shares less than half.
+COVERAGE = 0.3
+#: Share of a new record's fingerprints, its most frequent ones, that are not looked up: a pair with ``COVERAGE`` still meets in ``COVERAGE - UNASKED`` of the others.
+UNASKED = 0.2
 #: Fingerprint partitions, and bits of the Bloom filter of each; a filter is sent to one task, never to the driver.
 PARTITIONS, BITS = 32, 1 << 20
 HASHES = 4
@@ -57,15 +60,19 @@ def _winnowing(frequency):
             lists = batch.column("seq")
             offsets = lists.offsets.to_numpy()
             values = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
-            fps, recs, counts = [], [], []
+            fps, recs, counts, asked = [], [], [], []
             for i, rec in enumerate(ids):
                 seq = values[offsets[i]:offsets[i + 1]]
                 got = winnow(seq, table[(seq.view(np.uint64) % np.uint64(len(table))).astype(np.int64)])
+                rank = table[(got.view(np.uint64) % np.uint64(len(table))).astype(np.int64)]
+                ask = np.ones(len(got), dtype=bool)
+                ask[np.lexsort((got, rank))[len(got) - int(UNASKED * len(got)):]] = False
                 fps.append(got)
+                asked.append(ask)
                 recs.append(np.full(len(got), rec))
                 counts.append(np.full(len(got), len(got)))
             if fps:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps)), pa.array(np.concatenate(recs).astype(np.int64)), pa.array(np.concatenate(counts).astype(np.int32))], names=["fp", "rec", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps)), pa.array(np.concatenate(recs).astype(np.int64)), pa.array(np.concatenate(counts).astype(np.int32)), pa.array(np.concatenate(asked))], names=["fp", "rec", "n", "ask"])
     return run
 
 
@@ -145,15 +152,15 @@ class HistoryDedup:
         # what this batch adds is written where it will stay; until the commit nothing refers to it
         keep = heads.where("old IS NULL").select(F.col("head").alias("rec"), "seq", "tokens", "content")
         fresh = self._kept(keep.select("rec", "tokens", "content"), f"{folder}/sets")
-        fps = self._kept(keep.select("rec", "seq").mapInArrow(_winnowing(frequency), "fp long, rec long, n int"), f"{folder}/fps")
+        fps = self._kept(keep.select("rec", "seq").mapInArrow(_winnowing(frequency), "fp long, rec long, n int, ask boolean"), f"{folder}/fps")
         distinct = fps.groupBy("fp").agg(F.count("*").alias("times")).withColumn("part", F.expr(f"int(pmod(fp, {PARTITIONS}))"))
         blooms = self._read("blooms", "part int, bits binary")
         maybe = cut(distinct.groupBy("part").cogroup(blooms.groupBy("part")).applyInPandas(_prescreen, "fp long"), "maybe")
         mine = fps.join(maybe, "fp", "left_semi")
-        stored = self._read("fps", "fp long, rec long, n int").join(maybe, "fp", "left_semi")
-        there = stored.unionByName(mine).select("fp", F.col("rec").alias("a"), F.col("n").alias("n_a"))
-        shared = mine.select("fp", F.col("rec").alias("b"), F.col("n").alias("n_b")).join(there, "fp").where("a < b").groupBy("a", "b").agg(F.count("*").alias("m"), F.max(F.least("n_a", "n_b")).alias("n"))
-        covered = shared.where(F.col("m") >= F.greatest(F.lit(1.0), F.floor(F.col("n") * COVERAGE))).select("a", "b")
+        stored = self._read("fps", "fp long, rec long, n int, ask boolean").join(maybe, "fp", "left_semi")
+        there = stored.unionByName(mine).select("fp", F.col("rec").alias("a"))
+        shared = mine.where("ask").select("fp", F.col("rec").alias("b"), "n").join(there, "fp").where("a < b").groupBy("a", "b", "n").agg(F.count("*").alias("m"))
+        covered = shared.where(F.col("m") >= F.greatest(F.lit(1.0), F.floor(F.col("n") * F.lit(COVERAGE - UNASKED) + 1e-9))).select("a", "b")
         every = known.select("rec", "tokens").unionByName(fresh.select("rec", "tokens"))
         both = covered.join(every.select(F.col("rec").alias("a"), F.col("tokens").alias("ta")), "a").join(fresh.select(F.col("rec").alias("b"), F.col("tokens").alias("tb")), "b")
         same = F.size(F.array_intersect("ta", "tb"))

@@ -180,7 +180,7 @@ def test_leaks_tolerate_substitutions(spark):
     item = " ".join(f"w{i}" for i in range(40))
     text = " ".join("SUB" if i % 8 == 4 else f"w{i}" for i in range(40))
     row = leaks.leaked(spark.createDataFrame([(1, text)], "k long, t string"), "k", "t", spark.createDataFrame([("a", item)], "i string, q string"), "i", "q", 0.3).first()
-    assert row.tolerant == 1.0 and row.shared < 0.5
+    assert row.tolerant > 0.9 and row.shared < 0.5
 
 
 def test_leaks_of_nothing(spark):
