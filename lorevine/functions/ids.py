@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CONTROL_EDGES = r"^[\x00-\x20]+|[\x00-\x20]+$"
+CONTROL = "".join(map(chr, range(0x21)))
 
 
 def trim_control(c: Column) -> Column:
     """Trim every character up to U+0020 at both ends."""
-    return F.regexp_replace(c, CONTROL_EDGES, "")
+    return F.btrim(c, F.lit(CONTROL))
 
 
 def normalize_id(raw: Column) -> Column:

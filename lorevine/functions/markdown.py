@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ _FENCED = r"(?s)```.*?```"
 _INLINE = r"`[^`]+`"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -105,22 +112,21 @@ def plain_words(content: Column) -> Column:
     t = F.regexp_replace(t, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
     t = F.regexp_replace(t, r"\[\[([^\]|]*)(?:\|[^\]]*)?\]\]", "$1")
     t = F.lower(F.regexp_replace(t, r"[#*_~>|\[\](){}]", " "))
-    stop = F.array(*[F.lit(w) for w in KEYWORD_STOP_WORDS])
-    return F.filter(F.regexp_extract_all(t, F.lit("([a-zA-Z]{3,})"), F.lit(1)), lambda w: ~F.array_contains(stop, w))
+    return F.filter(F.regexp_extract_all(t, F.lit("([a-zA-Z]{3,})"), F.lit(1)), lambda w: ~w.isin(*KEYWORD_STOP_WORDS))
 
 
 def body(content: Column) -> Column:
     """Content without front matter, without the first ``# `` heading, and without lines of tags alone above it, stripped."""
-    all_lines = lines(content)
-    rest = F.slice(all_lines, 2, 1_000_000_000)
-    closes = F.array_position(F.transform(rest, lambda x: F.when(x == "...", F.lit("---")).otherwise(x)), "---")
-    front = (F.get(all_lines, F.lit(0)) == "---") & (closes > 0)
-    kept = F.when(front, F.slice(rest, (closes + 1).cast("int"), 1_000_000_000)).otherwise(all_lines)
-    h1 = F.array_position(F.transform(kept, lambda x: F.when(F.startswith(x, F.lit("# ")), F.lit("# ")).otherwise(F.lit(""))), "# ")
-    above = F.when(h1 == 0, kept).otherwise(F.slice(kept, 1, F.greatest(h1 - 1, F.lit(0)).cast("int")))
-    below = F.when(h1 == 0, F.array().cast("array<string>")).otherwise(F.slice(kept, (h1 + 1).cast("int"), 1_000_000_000))
-    above = F.filter(above, lambda x: ~F.regexp_like(x, F.lit(r"^(#[a-zA-Z][a-zA-Z0-9_-]*\s*)+$")))
-    return F.regexp_replace(F.array_join(F.concat(above, below), "\n"), r"\A\s+|\s+\z", "")
+    unix = F.regexp_replace(text(content), r"\r\n|\r", "\n")
+    plain = F.regexp_replace(unix, r"(?s)\A---\n(?:.*?\n)??(?:---|\.\.\.)(?:\n|\z)", "")
+
+    def around(padded: Column) -> Column:
+        at = F.instr(padded, "\n# ")
+        above = F.when(at == 0, padded).otherwise(F.substr(padded, F.lit(1), at))
+        below = F.when(at == 0, F.lit("")).otherwise(F.regexp_replace(F.substr(padded, at + 1), r"\A[^\n]*(?:\n|\z)", ""))
+        return F.concat(F.regexp_replace(above, r"(?m)^(?:#[a-zA-Z][a-zA-Z0-9_-]*[ \t\x0B\f]*)+(?:\n|\z)", ""), below)
+
+    return F.regexp_replace(let(F.concat(F.lit("\n"), plain), around), r"\A\s+|\s+\z", "")
 
 
 def paragraphs(content: Column, least: int = LEAST_PARAGRAPH) -> Column:
@@ -130,18 +136,28 @@ def paragraphs(content: Column, least: int = LEAST_PARAGRAPH) -> Column:
 
 def section(content: Column, heading: str) -> Column:
     """The section under a heading (case ignored) with its deeper sub-headings, trimmed; null if there is no such heading."""
-    def step(acc: Column, line: Column) -> Column:
-        t = trim_control(line)
-        level = F.length(F.regexp_extract(t, "^(#*)", 1))
-        begins = (acc["first"] == 0) & (level > 0) & (F.lower(trim_control(F.regexp_replace(t, "^#+", ""))) == heading.strip().lower())
-        ends = (acc["first"] > 0) & (acc["last"] == 0) & (level > 0) & (level <= acc["level"])
-        at = acc["i"] + 1
-        return F.struct(at.alias("i"), F.when(begins, at).otherwise(acc["first"]).alias("first"), F.when(begins, level).otherwise(acc["level"]).alias("level"), F.when(ends, acc["i"]).otherwise(acc["last"]).alias("last"))
-
-    zero = F.lit(0)
-    span = F.aggregate(lines(content), F.struct(zero.alias("i"), zero.alias("first"), zero.alias("level"), zero.alias("last")), step)
-    last = F.when(span["last"] == 0, span["i"]).otherwise(span["last"])
-    return F.when(span["first"] > 0, trim_control(F.array_join(F.slice(lines(content), span["first"], last - span["first"] + 1), "\n")))
+    name = heading.strip().lower()
+
+    def head(line: Column) -> Column:
+        """Level of a heading line, negative if it is the one asked for; 0 for other lines."""
+        def of(t: Column) -> Column:
+            level = F.length(F.regexp_extract(t, "^(#+)", 1))
+            return F.when(F.lower(trim_control(F.regexp_replace(t, "^#+", ""))) == name, -level).otherwise(level)
+
+        return let(trim_control(line), lambda t: F.when(F.startswith(t, F.lit("#")), of(t)).otherwise(F.lit(0)))
+
+    def step(acc: Column, level: Column) -> Column:
+        begins = (acc["first"] == 0) & (level < 0)
+        ends = (acc["first"] > 0) & (acc["last"] == 0) & (level != 0) & (F.abs(level) <= acc["level"])
+        return F.struct((acc["i"] + 1).alias("i"), F.when(begins, acc["i"] + 1).otherwise(acc["first"]).alias("first"), F.when(begins, -level).otherwise(acc["level"]).alias("level"), F.when(ends, acc["i"]).otherwise(acc["last"]).alias("last"))
+
+    def cut_out(all_lines: Column) -> Column:
+        zero = F.lit(0)
+        span = F.aggregate(F.transform(all_lines, head), F.struct(zero.alias("i"), zero.alias("first"), zero.alias("level"), zero.alias("last")), step)
+        last = lambda x: F.when(x["last"] == 0, x["i"]).otherwise(x["last"])
+        return let(span, lambda x: F.when(x["first"] > 0, trim_control(F.array_join(F.slice(all_lines, x["first"], last(x) - x["first"] + 1), "\n"))))
+
+    return let(lines(content), cut_out)
 
 
 def summary_line(note_body: Column) -> Column:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorevine.functions.markdown import text
+from lorevine.functions.markdown import let, text
 
 WINDOW = 350
 LEAST_WORDS = 10
@@ -34,22 +34,25 @@ def length_score(word: Column) -> Column:
 
 def compress_threshold(content: Column, score: Callable[[Column], Column] = length_score, threshold: float = THRESHOLD) -> Column:
     """Words scoring above ``threshold``; texts of fewer than ten words, and those that nothing is left of, stay as they are."""
-    words = split_words(content)
-    kept = F.filter(words, lambda w: score(w) > threshold)
-    return F.when((F.size(words) < LEAST_WORDS) | (F.size(kept) == 0), text(content)).otherwise(F.array_join(kept, " "))
+    def shorten(words: Column) -> Column:
+        kept = F.filter(words, lambda w: score(w) > threshold)
+        return let(kept, lambda k: F.when((F.size(words) < LEAST_WORDS) | (F.size(k) == 0), text(content)).otherwise(F.array_join(k, " ")))
+
+    return let(split_words(content), shorten)
 
 
 def compress_share(content: Column, ratio: float, score: Callable[[Column], Column] = length_score) -> Column:
     """Of each window the ``max(1, floor(n * ratio))`` best words (ties by position) in their order; short texts stay as they are."""
-    words = split_words(content)
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words), F.lit(WINDOW))).otherwise(F.array().cast("array<int>"))
-
-    def window(at: Column) -> Column:
+    def window(words: Column, at: Column) -> Column:
         part = F.transform(F.slice(words, at, WINDOW), lambda w, i: F.struct((-score(w)).alias("s"), i.alias("i"), w.alias("w")))
-        best = F.slice(F.array_sort(part), 1, F.greatest(F.lit(1), F.floor(F.size(part) * ratio)).cast("int"))
+        best = let(part, lambda p: F.slice(F.array_sort(p), 1, F.greatest(F.lit(1), F.floor(F.size(p) * ratio)).cast("int")))
         return F.transform(F.array_sort(F.transform(best, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w")))), lambda x: x["w"])
 
-    return F.when(F.size(words) < LEAST_WORDS, text(content)).otherwise(F.array_join(F.flatten(F.transform(starts, window)), " "))
+    def shorten(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words), F.lit(WINDOW))
+        return F.when(F.size(words) < LEAST_WORDS, text(content)).otherwise(F.array_join(F.flatten(F.transform(starts, lambda at: window(words, at))), " "))
+
+    return let(split_words(content), shorten)
 
 
 def savings(original: Column, compressed: Column) -> dict[str, Column]:

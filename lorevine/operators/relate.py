@@ -16,16 +16,13 @@ TAG_CAP, KEYWORD_CAP = 3, 5
 RELATIONS = (("wiki_link", "references"), ("shared_tags", "related_topic"), ("shared_keywords", "similar_content"))
 
 
-def bucket_pairs(notes: DataFrame, column: str) -> DataFrame:
+def bucket_pairs(notes: DataFrame, column: str, key: str = "id") -> DataFrame:
     """``(a, b, n)`` with ``a < b``: how many values of ``column`` two notes share, counting buckets of 2 to ``MAX_BUCKET`` notes."""
-    terms = notes.select("id", F.explode(F.array_distinct(column)).alias("term")).where(F.col("term").isNotNull())
+    terms = notes.select(F.col(key).alias("a"), F.explode(F.array_distinct(column)).alias("term")).where(F.col("term").isNotNull())
     sizes = terms.groupBy("term").agg(F.count("*").alias("size")).where(F.col("size").between(2, MAX_BUCKET)).select("term")
     kept = terms.join(sizes, "term")
-    # a bucket has at most MAX_BUCKET ids: its pairs are made inside the row, one shuffle on the term instead of a self-join
-    bucket = kept.groupBy("term").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    first = bucket.select("ids", F.posexplode("ids").alias("i", "a"))
-    pairs = first.select("a", F.explode(F.slice("ids", F.col("i") + 2, MAX_BUCKET)).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    # both sides come from one exchange on the term; a bucket gives at most MAX_BUCKET squared pairs
+    return kept.join(kept.select(F.col("a").alias("b"), "term"), "term").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def resolved_links(notes: DataFrame) -> DataFrame:
@@ -52,18 +49,24 @@ def build_edges(notes: DataFrame) -> DataFrame:
     """``(source, target, weight, reasons, relation_type)`` with ``source <= target``; a note that links to itself has an edge to itself.
 
     Weight: 5 for each direction linked, 2 for each shared tag up to 3, 1 for each shared keyword up to 5. The type is that
-    declared by the note first in ``ord``, else inferred.
+    declared by the note first in ``ord``, else inferred. ``ord`` numbers the notes: it is what pairs are shuffled by, and must be unique.
     """
-    links = resolved_links(notes).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    numbers = notes.select("ord", "id")
+    targets = numbers.select(F.col("ord").alias("to"), F.col("id").alias("dst"))
+    linked = notes.select("ord", F.explode(F.array_distinct("wiki_links")).alias("dst")).join(targets, "dst")
+    pair = (F.least("ord", "to").alias("a"), F.greatest("ord", "to").alias("b"))
+    zero = F.lit(0).cast("long")
     signals = (
-        links.select("a", "b", F.col("n").alias("links"), F.lit(0).cast("long").alias("tags"), F.lit(0).cast("long").alias("words"))
-        .unionByName(bucket_pairs(notes, "tags").select("a", "b", F.lit(0).cast("long").alias("links"), F.col("n").alias("tags"), F.lit(0).cast("long").alias("words")))
-        .unionByName(bucket_pairs(notes, "keywords").select("a", "b", F.lit(0).cast("long").alias("links"), F.lit(0).cast("long").alias("tags"), F.col("n").alias("words"))))
+        linked.groupBy(*pair).agg(F.count("*").alias("links")).select("a", "b", "links", zero.alias("tags"), zero.alias("words"))
+        .unionByName(bucket_pairs(notes, "tags", "ord").select("a", "b", zero.alias("links"), F.col("n").alias("tags"), zero.alias("words")))
+        .unionByName(bucket_pairs(notes, "keywords", "ord").select("a", "b", zero.alias("links"), zero.alias("tags"), F.col("n").alias("words"))))
     summed = signals.groupBy("a", "b").agg(F.sum("links").alias("links"), F.sum("tags").alias("tags"), F.sum("words").alias("words"))
-    typed = notes.select("ord", F.col("id").alias("src"), F.explode("wiki_link_types").alias("dst", "type")).where(F.trim("type") != "")
-    declared = typed.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min_by("type", F.struct("ord", "src", "dst")).alias("declared"))
+    typed = notes.select("ord", "id", F.explode("wiki_link_types").alias("dst", "type")).where(F.trim("type") != "").join(targets, "dst")
+    declared = typed.groupBy(*pair).agg(F.min_by("type", F.struct("ord", "id", "dst")).alias("declared"))
     weight = LINK_WEIGHT * F.col("links") + TAG_WEIGHT * F.least(F.lit(TAG_CAP), F.col("tags")) + KEYWORD_WEIGHT * F.least(F.lit(KEYWORD_CAP), F.col("words"))
     reasons = F.array_sort(F.array_compact(F.array(F.when(F.col("links") > 0, F.lit("wiki_link")), F.when(F.col("tags") > 0, F.lit("shared_tags")), F.when(F.col("words") > 0, F.lit("shared_keywords")))))
-    out = summed.join(declared, ["a", "b"], "left").withColumn("reasons", reasons)
-    return out.select(F.col("a").alias("source"), F.col("b").alias("target"), weight.cast("int").alias("weight"), "reasons",
-                      F.when(F.col("links") > 0, F.coalesce("declared", inferred_type(F.col("reasons")))).otherwise(inferred_type(F.col("reasons"))).alias("relation_type")).where("weight > 0")
+    inferred = inferred_type(F.col("reasons"))
+    out = summed.join(declared, ["a", "b"], "left").withColumn("reasons", reasons).select(
+        "a", "b", weight.cast("int").alias("weight"), "reasons", F.when(F.col("links") > 0, F.coalesce("declared", inferred)).otherwise(inferred).alias("relation_type")).where("weight > 0")
+    named = out.join(numbers.select(F.col("ord").alias("a"), F.col("id").alias("x")), "a").join(numbers.select(F.col("ord").alias("b"), F.col("id").alias("y")), "b")
+    return named.select(F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"), "weight", "reasons", "relation_type")
