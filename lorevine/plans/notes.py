@@ -14,7 +14,6 @@ from lorevine.sources.notes import chunks, keywords
 
 #: Parameters of the queries.
 START, END, QUERY, QUESTION, NOW_MS, SECTION = "index.md", "glossary/terms.md", "gateway budget", "which budget did the gateway reach", 1_772_000_000_000, "Related"
-FIRST_ENTRY = 1
 
 QUERIES, ORACLES = {}, {}
 
@@ -685,3 +684,52 @@ def hashed_embedding(spark, d):
 @query()
 def keyword_lists(spark, d):
     return keywords(_notes(spark, d)).select("id", F.array_join("keywords", ",").alias("keywords"))
+
+
+# ---------------------------------------------------------------- caches and writers
+
+
+@query(f"""WITH {LATEST_SQL.replace("SELECT id, upper(trim(op)) AS op, content", "SELECT id, upper(trim(op)) AS op, modified_ms")},
+c AS (SELECT id, max(last_modified) AS m FROM cache_entries WHERE embedding IS NOT NULL AND chunk_embeddings IS NOT NULL AND last_modified IS NOT NULL GROUP BY id)
+SELECT l.id, c.m IS NOT NULL AND c.m >= l.modified_ms AS usable FROM latest l LEFT JOIN c ON l.id = c.id WHERE l.op <> 'DELETE'""")
+def cache_usable(spark, d):
+    """Which notes need no new vectors: a cached entry with both kinds that is not older."""
+    last = latest_changes(table(spark, d, "note_changes")).where("op <> 'DELETE'")
+    cached = table(spark, d, "cache_entries").where("embedding IS NOT NULL AND chunk_embeddings IS NOT NULL AND last_modified IS NOT NULL").groupBy("id").agg(F.max("last_modified").alias("m"))
+    return last.join(cached, "id", "left").select("id", F.coalesce(F.col("m") >= F.col("modified_ms"), F.lit(False)).alias("usable"))
+
+
+@query(f"WITH {VECTOR_SQL} SELECT id FROM notes WHERE id NOT IN (SELECT id FROM good_v WHERE id IS NOT NULL)")
+def missing_embeddings(spark, d):
+    """Notes that the embedding job still has to take."""
+    return _notes(spark, d).select("id").join(_entry_vectors(spark, d).where("id IS NOT NULL").select("id"), "id", "left_anti")
+
+
+@query("SELECT id, title AS label FROM notes ORDER BY label, id")
+def notes_by_label(spark, d):
+    return _notes(spark, d).select("id", F.col("title").alias("label")).orderBy("label", "id")
+
+
+@query(rf"""WITH t AS (SELECT rec_id, 'team/' || split_part(id, '/', 1) || '/' || regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '.md' AS target FROM note_details WHERE batch_no >= 1)
+SELECT t.rec_id, t.target, CASE WHEN n.id IS NULL THEN 'create' ELSE 'update' END AS action FROM t LEFT JOIN (SELECT DISTINCT 'team/' || id AS id FROM notes) n ON t.target = n.id""")
+def upload_plan(spark, d):
+    """Where an upload of each new record would go, and whether it creates or updates."""
+    target = F.concat(F.lit("team/"), F.split_part("id", F.lit("/"), F.lit(1)), F.lit("/"), slugify(F.coalesce("title", F.lit(""))), F.lit(".md"))
+    new = table(spark, d, "note_details").where("batch_no >= 1").select("rec_id", target.alias("target"))
+    known = _notes(spark, d).select(F.concat(F.lit("team/"), F.col("id")).alias("target"), F.lit(1).alias("known")).distinct()
+    return new.join(known, "target", "left").select("rec_id", "target", F.when(F.col("known").isNull(), "create").otherwise("update").alias("action"))
+
+
+@query(r"""SELECT rec_id, array_to_string(list_transform(list_filter(regexp_extract_all(coalesce(body, ''), '(?:^|[^\w/])#([a-zA-Z][a-zA-Z0-9_-]*)', 1), lambda x: TRUE), lambda x: lower(x)), ' ') AS tags,
+array_to_string(list_transform(regexp_extract_all(coalesce(body, ''), '\[\[([^\]\|\n]+)(?:\|[^\]\n]*)?\]\]', 1), lambda x: regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '.md'), ' ') AS links FROM note_details""")
+def writer_extraction(spark, d):
+    """Tags (repeats kept) and slugged links of a body as a writer takes them."""
+    body = md.text(F.col("body"))
+    tags = F.transform(F.regexp_extract_all(body, F.lit(r"(?<![\w/])#([a-zA-Z][a-zA-Z0-9_-]*)"), F.lit(1)), F.lower)
+    links = F.transform(F.regexp_extract_all(body, F.lit(r"\[\[([^\]\|\n]+)(?:\|[^\]\n]*)?\]\]"), F.lit(1)), lambda x: F.concat(slugify(x), F.lit(".md")))
+    return table(spark, d, "note_details").select("rec_id", F.array_join(tags, " ").alias("tags"), F.array_join(links, " ").alias("links"))
+
+
+@query("SELECT id, CAST(count(*) AS BIGINT) AS accesses, strftime(max(ts), '%Y-%m-%d') AS last_day FROM access_log WHERE id IS NOT NULL GROUP BY id")
+def access_counts(spark, d):
+    return table(spark, d, "access_log").where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("accesses"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_day"))
