@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lorevine.llm.components import components
 from lorevine.llm.near_dup import shingled
-from lorevine.llm.segments import FREQUENCY_BUCKETS, _mix, token_frequencies
+from lorevine.llm.segments import _mix, frequency_blocks, frequency_table
 from lorevine.operators.increments import IncrementStore, Window
 from lorevine.runtime import cut, scratch
 
@@ -116,18 +116,13 @@ class HistoryDedup:
         """Folders of one part, of the batches that were committed."""
         return [f"{folder}/{part}" for folder in self.store.state()["outputs"]]
 
-    def _frequencies(self, batch: DataFrame):
+    def _frequencies(self, batch: DataFrame, folder: str):
         """The frozen table: of the first batch that was committed, else of this one; at most ``FREQUENCY_BUCKETS`` numbers."""
         if self._frequency is None:
+            schema = "block int, counts binary"
             old = self._folders("frequency")
-            if old:
-                got = self.spark.read.schema("b int, n float").parquet(old[0]).toPandas()
-                table = np.zeros(FREQUENCY_BUCKETS, dtype=np.float32)
-                table[got["b"].to_numpy()] = got["n"].to_numpy()
-            else:
-                table = token_frequencies(batch.select("tokens"))
-            self._table = table
-            self._frequency = self.spark.sparkContext.broadcast(table)
+            blocks = self.spark.read.schema(schema).parquet(old[0]) if old else self._kept(frequency_blocks(batch), f"{folder}/frequency")
+            self._frequency = self.spark.sparkContext.broadcast(frequency_table(blocks))
         return self._frequency
 
     def add(self, records: DataFrame, key: str, sequence: int) -> None:
@@ -140,9 +135,8 @@ class HistoryDedup:
         if low is not None and sequence <= low:
             raise ValueError(f"batch {sequence} does not follow {low}")
         folder = scratch(self.spark, "batch")
-        first = low is None
         sets = cut(shingled(records, key, self.text, self.k, self.least), "shingled")
-        frequency = self._frequencies(sets)
+        frequency = self._frequencies(sets, folder)
         known = self._read("sets", "rec long, tokens array<long>, content string")
         # equal contents: the store's representative, else the batch's smallest record
         heads = sets.groupBy("content").agg(F.min("rec").alias("head"), F.min_by("seq", "rec").alias("seq"), F.first("tokens").alias("tokens"))
@@ -167,9 +161,6 @@ class HistoryDedup:
         near = both.where(same >= F.lit(self.similarity - 1e-12) * (F.size("ta") + F.size("tb") - same)).select("a", "b")
         near.unionByName(copies.select("a", "b")).write.parquet(f"{folder}/links")
         distinct.select("part", "fp").groupBy("part").applyInPandas(_filter_of, "part int, bits binary").write.parquet(f"{folder}/blooms")
-        if first:
-            at = np.flatnonzero(self._table)
-            self.spark.createDataFrame(pd.DataFrame({"b": at.astype(np.int32), "n": self._table[at]})).write.parquet(f"{folder}/frequency")
         self.store.publish(folder, Window(low, sequence))
 
     def _kept(self, df: DataFrame, path: str) -> DataFrame:

@@ -176,12 +176,36 @@ def _probe(t: float, frequency, total: int):
     return run
 
 
-def token_frequencies(sets: DataFrame, buckets: int = FREQUENCY_BUCKETS) -> np.ndarray:
-    """Occurrences of tokens by bucket, over all sets; at most ``buckets`` numbers come to the driver."""
-    counted = sets.select(F.explode("tokens").alias("x")).groupBy(F.expr(f"int(pmod(x, {buckets}))").alias("b")).agg(F.count("*").alias("n"))
+#: Buckets in one row of the packed table.
+BLOCK = 1 << 13
+
+
+def _count(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, dtype=np.int64)
+        for batch in batches:
+            tokens = batch.column("tokens").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            total += np.bincount((tokens % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+        used = [i for i in range(buckets // BLOCK) if total[i * BLOCK:(i + 1) * BLOCK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([total[i * BLOCK:(i + 1) * BLOCK].tobytes() for i in used], pa.binary())], names=["block", "counts"])
+    return run
+
+
+def _sum(table: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(x, dtype=np.int64) for x in table.column("counts").to_pylist()], axis=0)
+    return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([total.astype(np.int64).tobytes()], pa.binary())})
+
+
+def frequency_blocks(sets: DataFrame, buckets: int = FREQUENCY_BUCKETS) -> DataFrame:
+    """``(block, counts)``: occurrences of tokens by bucket over all sets, packed; at most ``buckets / BLOCK`` rows."""
+    return sets.select("tokens").mapInArrow(_count(buckets), "block int, counts binary").groupBy("block").applyInArrow(_sum, "block int, counts binary")
+
+
+def frequency_table(blocks: DataFrame, buckets: int = FREQUENCY_BUCKETS) -> np.ndarray:
+    """The packed table on the driver: ``buckets`` numbers, whatever the data."""
     out = np.zeros(buckets, dtype=np.float32)
-    got = counted.toPandas()
-    out[got["b"].to_numpy()] = got["n"].to_numpy()
+    for row in blocks.collect():
+        out[row.block * BLOCK:(row.block + 1) * BLOCK] = np.frombuffer(row.counts, dtype=np.int64)
     return out
 
 
@@ -192,7 +216,7 @@ def candidate_pairs(sets: DataFrame, t: float) -> DataFrame:
     """
     spark = sets.sparkSession
     total = sets.count()
-    frequency = spark.sparkContext.broadcast(token_frequencies(sets))
+    frequency = spark.sparkContext.broadcast(frequency_table(frequency_blocks(sets)))
     sets = sets.select("id", "tokens").where(F.size("tokens") > 0)
     index = sets.mapInArrow(_index(t), _OUT).select("key", F.col("id").alias("i"), F.col("size").alias("i_size"))
     probe = sets.mapInArrow(_probe(t, frequency, total), _OUT).select("key", F.col("id").alias("p"), F.col("size").alias("p_size"))
