@@ -190,7 +190,7 @@ def _token_bad(token: str) -> tuple[int, int]:
 
 
 # Words that show a line to be English.
-ENGLISH = re.compile(r"\b(?:the|The|of|and|with|for|was|is|a|to)\b")
+ENGLISH = re.compile(r"\b(?:the|The|of|and|with|for|was|is|that)\b")
 
 
 def suspicion(text: str) -> int:
