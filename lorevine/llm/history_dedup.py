@@ -83,7 +83,7 @@ def _bits(fp: np.ndarray) -> np.ndarray:
     return np.stack([((a + np.uint64(i) * b) % np.uint64(BITS)).astype(np.int64) for i in range(HASHES)], axis=1)
 
 
-def _prescreen(key, fps: pd.DataFrame, blooms: pd.DataFrame) -> pd.DataFrame:
+def _prescreen(key: tuple, fps: pd.DataFrame, blooms: pd.DataFrame) -> pd.DataFrame:
     """Of one partition: which of the batch's distinct fingerprints may be in the store, or occur twice in the batch."""
     known = np.zeros(len(fps), dtype=bool)
     if len(blooms) and len(fps):
@@ -94,7 +94,7 @@ def _prescreen(key, fps: pd.DataFrame, blooms: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"fp": fps["fp"][known | (fps["times"].to_numpy() > 1)]})
 
 
-def _filter_of(key, fps: pd.DataFrame) -> pd.DataFrame:
+def _filter_of(key: tuple, fps: pd.DataFrame) -> pd.DataFrame:
     bits = np.zeros(BITS, dtype=bool)
     bits[_bits(fps["fp"].to_numpy()).ravel()] = True
     return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})

@@ -26,7 +26,7 @@ from lorevine.llm.segments import _mix
 SPAN = 5
 #: Positions of a window that count, one mask per row.
 MASKS = ((0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 250_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -94,10 +94,10 @@ class Items:
         return np.repeat(doc, n), order[flat]
 
 
-def _search(items: Items, least: float):
-    n_items, n_windows = len(items.keys), max(len(items.item), 1)
-
+def _search(shared, least: float):
     def chunk(keys: list, texts: list) -> pd.DataFrame:
+        items = shared.value
+        n_items = len(items.keys)
         get = items.vocabulary.get
         parts, lengths = [], []
         for text in texts:
@@ -166,5 +166,5 @@ def leaked(documents: DataFrame, key: str, text: str, items: DataFrame, item_key
         index = Items([(r.k, r.t) for r in block])
         if not len(index.item):
             continue
-        out.append(rows.mapInPandas(_search(index, least), f"doc {kind}, item {item_kind}, shared double, tolerant double"))
+        out.append(rows.mapInPandas(_search(spark.sparkContext.broadcast(index), least), f"doc {kind}, item {item_kind}, shared double, tolerant double"))
     return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], f"doc {kind}, item {item_kind}, shared double, tolerant double")

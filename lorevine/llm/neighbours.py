@@ -5,8 +5,10 @@ refined by moving vectors to the part most of their neighbours are in, under a c
 classifier routes each vector to its likeliest part, where it can be found, and to its ``probes`` likeliest parts, where it asks; within each part all vectors that ask are compared exactly with all that can be found, in blocks, and the
 best of all parts are kept.
 
-Every vector is indexed and every vector asks; the sample only shapes the partition. Its size is ``SAMPLE_PER_PART`` vectors a part, at most
-``MAX_PARTS`` parts. Parts that the sample shows to be larger than the target are cut into blocks of bounded size, all of which are compared, so a part may hold a third of all vectors.
+Every vector is indexed and every vector asks; the sample only shapes the partition. Its size is ``SAMPLE_PER_PART`` vectors a part. Up to ``MAX_PARTS`` parts are fitted at once on the
+driver. A larger collection is parted twice: into about the square root of the parts wanted, and each of these, in a task of its own and on its own sample, into leaves; at most
+``MAX_LEAVES`` in all, which bounds the classifiers sent to the executors (about 400 bytes a leaf for 96 numbers). Parts that the sample shows to be larger than the target are cut into blocks of bounded
+size, all of which are compared, so a part may hold a third of all vectors.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors a part is meant to hold, sample vectors for each part, and the most parts; together the bound of the sample (65,536 vectors).
-PART_SIZE, SAMPLE_PER_PART, MAX_PARTS = 1500, 64, 1024
+#: Vectors a part is meant to hold, sample vectors for each part, the most parts of one fit (so 65,536 sample vectors at most), and the most leaves.
+PART_SIZE, SAMPLE_PER_PART, MAX_PARTS, MAX_LEAVES = 1500, 64, 1024, 65_536
 #: Neighbours in the sample's graph, and passes of refinement.
 GRAPH_K, PASSES = 8, 8
 #: Parts asked for each vector.
@@ -118,45 +120,114 @@ def train(x: np.ndarray, label: np.ndarray, parts: int, epochs: int = 25, seed:
     return w
 
 
+def _logits(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Log-probabilities of the parts."""
+    z = x @ weights[:-1] + weights[-1]
+    z -= z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def _top(z: np.ndarray, k: int) -> np.ndarray:
+    k = min(k, z.shape[1])
+    top = np.argpartition(-z, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(z, top, axis=1), axis=1), axis=1)
+
+
 class Router:
-    """The fitted classifier and, for each part, into how many blocks it is cut."""
+    """The fitted classifier, or a first one and one for the leaves of each of its parts; and, for each part or leaf, into how many blocks it is cut."""
 
-    def __init__(self, weights: np.ndarray, blocks: np.ndarray):
-        self.weights, self.blocks = weights, blocks
+    def __init__(self, weights: np.ndarray, blocks: np.ndarray, leaves: list[np.ndarray] | None = None):
+        self.weights, self.blocks, self.leaves = weights, blocks, leaves
+        if leaves:
+            self.first = np.concatenate([[0], np.cumsum([w.shape[1] for w in leaves])])
 
     def parts(self, x: np.ndarray, probes: int) -> np.ndarray:
-        """The ``probes`` likeliest parts of each row, likeliest first."""
-        z = x @ self.weights[:-1] + self.weights[-1]
-        probes = min(probes, z.shape[1])
-        top = np.argpartition(-z, probes - 1, axis=1)[:, :probes]
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(z, top, axis=1), axis=1), axis=1)
+        """The ``probes`` likeliest parts of each row, likeliest first; missing ones are -1."""
+        z = _logits(x, self.weights)
+        top = _top(z, probes)
+        if not self.leaves:
+            return top
+        score = np.full((len(x), top.shape[1] * probes), -np.inf)
+        leaf = np.full(score.shape, -1, dtype=np.int64)
+        for j in range(top.shape[1]):
+            for g in np.unique(top[:, j]):
+                rows = np.flatnonzero(top[:, j] == g)
+                zz = _logits(x[rows], self.leaves[g])
+                best = _top(zz, probes)
+                at = j * probes + np.arange(best.shape[1])
+                score[rows[:, None], at] = np.take_along_axis(zz, best, axis=1) + z[rows, g][:, None]
+                leaf[rows[:, None], at] = self.first[g] + best
+        return np.take_along_axis(leaf, _top(score, probes), axis=1)
+
+
+def _fitted(x: np.ndarray, parts: int) -> np.ndarray:
+    """Classifier weights of ``parts`` parts learned on ``x``."""
+    if parts <= 1 or len(x) <= 2 * parts:
+        return np.zeros((x.shape[1] + 1, 1), np.float32)
+    return train(x, balanced_parts(x, neighbour_graph(x, GRAPH_K), parts), parts)
+
+
+def _sampled(vectors: DataFrame, want: int, total: int) -> tuple[DataFrame, float]:
+    """About ``want`` vectors, those whose keys hash low, and their share of all."""
+    share = min(1.0, 1.05 * want / total)
+    return vectors.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1), share
+
+
+def _ordered(table) -> np.ndarray:
+    x = _matrix(table.column("v").combine_chunks())
+    return x[np.argsort(table.column("key").to_numpy(), kind="stable")]
 
 
 def fit(vectors: DataFrame, total: int, part_size: int = PART_SIZE) -> Router:
-    """Fit on the vectors with the smallest hashes of their keys; the sample comes to the driver and is bounded (see the module's constants)."""
-    parts = int(min(MAX_PARTS, max(1, round(total / part_size))))
-    dims = len(vectors.select("v").first()["v"])
-    if parts == 1:
-        return Router(np.zeros((dims + 1, 1), np.float32), np.array([max(1, -(-total // BLOCK))]))
-    want = parts * SAMPLE_PER_PART
-    share = min(1.0, 1.05 * want / total)
-    rows = vectors.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * want).toArrow()
-    x = _matrix(rows.column("v").combine_chunks())
-    x = x[np.argsort(rows.column("key").to_numpy(), kind="stable")]
-    label = balanced_parts(x, neighbour_graph(x, GRAPH_K), parts)
-    weights = train(x, label, parts)
-    router = Router(weights, np.ones(parts, dtype=np.int64))
-    expected = np.bincount(router.parts(x, 1)[:, 0], minlength=parts) / len(x) * total
+    """Fit on the vectors with the smallest hashes of their keys; what comes to the driver is bounded (see the module's constants)."""
+    wanted = max(1, round(total / part_size))
+    parts = int(wanted if wanted <= MAX_PARTS else min(MAX_PARTS, np.ceil(np.sqrt(wanted))))
+    sample, _ = _sampled(vectors, parts * SAMPLE_PER_PART, total)
+    x = _ordered(sample.limit(2 * parts * SAMPLE_PER_PART).toArrow())
+    router = Router(_fitted(x, parts), np.ones(1, dtype=np.int64))
+    if wanted > MAX_PARTS:
+        return _with_leaves(router, vectors, total, min(wanted, MAX_LEAVES), part_size)
+    count = router.weights.shape[1]
+    expected = np.bincount(router.parts(x, 1)[:, 0], minlength=count) / len(x) * total
     router.blocks = np.maximum(1, np.ceil(expected / BLOCK)).astype(np.int64)
     return router
 
 
+def _with_leaves(top: Router, vectors: DataFrame, total: int, wanted: int, part_size: int) -> Router:
+    """A router with a classifier of leaves for each part of ``top``, fitted where the part's sample lies."""
+    sample, share = _sampled(vectors, wanted * SAMPLE_PER_PART, total)
+    most, size = MAX_PARTS * SAMPLE_PER_PART, max(part_size, total / wanted)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                part = top.parts(_matrix(batch.column("v")), 1)[:, 0].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(part), batch.column("key"), batch.column("v")], names=["part", "key", "v"])
+
+    def leaves(table: pa.Table) -> pa.Table:
+        here = table.num_rows / share
+        x = _ordered(table.slice(0, most))
+        w = _fitted(x, int(min(MAX_PARTS, max(1, round(here / size)))))
+        load = np.bincount(_top(_logits(x, w), 1)[:, 0], minlength=w.shape[1]) / len(x) * here
+        return pa.table({"part": table.column("part").slice(0, 1), "weights": [w.astype(np.float32).tobytes()], "load": [load.astype(np.float64).tobytes()]})
+
+    fitted = sample.select("key", "v").mapInArrow(assign, "part long, key long, v array<float>").groupBy("part").applyInArrow(leaves, "part long, weights binary, load binary")
+    dims = top.weights.shape[0]
+    models = [np.zeros((dims, 1), np.float32)] * top.weights.shape[1]
+    loads = [np.zeros(1)] * top.weights.shape[1]
+    for row in fitted.collect():  # one row for each part, at most MAX_LEAVES classifier columns in all
+        models[row.part] = np.frombuffer(row.weights, dtype=np.float32).reshape(dims, -1)
+        loads[row.part] = np.frombuffer(row.load, dtype=np.float64)
+    return Router(top.weights, np.maximum(1, np.ceil(np.concatenate(loads) / BLOCK)).astype(np.int64), models)
+
+
 _ROUTED = pa.schema([("part", pa.int64()), ("key", pa.int64()), ("owner", pa.int64()), ("asks", pa.int8()), ("v", pa.binary())])
 
 
-def _route(router: Router, probes: int):
+def _route(shared, probes: int):
     """One row where a vector can be found, in every block row of its part, and one for each block it asks; both in one row where they meet."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        router = shared.value
         base = np.concatenate([[0], np.cumsum(router.blocks**2)])
         for batch in batches:
             if not batch.num_rows:
@@ -167,8 +238,8 @@ def _route(router: Router, probes: int):
             raw = pa.array([r.tobytes() for r in x], pa.binary())
             part, row, asks = [], [], []
             for j in range(at.shape[1]):
-                blocks = router.blocks[at[:, j]]
-                mine = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks
+                blocks = np.where(at[:, j] >= 0, router.blocks[at[:, j]], 0)  # no such part, no row
+                mine = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % np.maximum(blocks, 1)
                 for b in range(int(blocks.max())):
                     has = np.flatnonzero(blocks > b)
                     asking = base[at[has, j]] + mine[has] * blocks[has] + b
@@ -217,7 +288,7 @@ def nearest(vectors: DataFrame, k: int, least: float = -1.0, probes: int = PROBE
     total = vectors.count()
     if not total:
         return vectors.sparkSession.createDataFrame([], "key long, near long, similarity double")
-    router = fit(vectors, total, part_size)
+    router = vectors.sparkSession.sparkContext.broadcast(fit(vectors, total, part_size))
     routed = vectors.select("key", "owner", "v").mapInArrow(_route(router, probes), "part long, key long, owner long, asks byte, v binary")
 
     def search(table: pa.Table) -> pa.Table:

@@ -280,6 +280,17 @@ def test_recall_over_parts(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_recall_over_leaves(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MAX_PARTS", 6)
+    monkeypatch.setattr(neighbours, "SAMPLE_PER_PART", 100)
+    n = 3000
+    x = clustered(n)
+    df = spark.createDataFrame([(i, i, x[i].tolist()) for i in range(n)], "key long, owner long, v array<float>")
+    got = {(r.key, r.near) for r in neighbours.nearest(df, 5, part_size=150).collect()}
+    want = {(a, b) for a, bs in brute(list(range(n)), list(range(n)), x, 5, -1).items() for b in bs}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_parts_are_balanced():
     x = clustered(2000)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
