@@ -17,9 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorevine.runtime import cut
+
 #: Vectors a part is meant to hold, sample vectors for each part, the most parts of one fit (so 65,536 sample vectors at most), and the most leaves.
 PART_SIZE, SAMPLE_PER_PART, MAX_PARTS, MAX_LEAVES = 1500, 64, 1024, 65_536
 #: Neighbours in the sample's graph, and passes of refinement.
@@ -299,9 +301,12 @@ def nearest(vectors: DataFrame, k: int, least: float = -1.0, probes: int = PROBE
         a, b, s = best_in_block(x[asking], key[asking], owner[asking], x[found], key[found], owner[found], k, least)
         return pa.table({"key": a, "near": b, "similarity": s.astype(np.float64)})
 
-    hits = routed.groupBy("part").applyInArrow(search, "key long, near long, similarity double")
-    best = hits.groupBy("key").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("s"), F.col("near").alias("near")))), 1, k).alias("b"))
-    return best.select("key", F.explode("b").alias("b")).select("key", F.col("b.near").alias("near"), (-F.col("b.s")).alias("similarity"))
+    hits = cut(routed.groupBy("part").applyInArrow(search, "key long, near long, similarity double"), "hits")
+    # a pair that one side has found is known to the other as well
+    both = hits.unionByName(hits.select(F.col("near").alias("key"), F.col("key").alias("near"), "similarity"))
+    once = both.groupBy("key", "near").agg(F.max("similarity").alias("similarity"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("similarity").desc(), F.col("near")))
+    return once.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
 def entry_vectors(entries: DataFrame, dims: int) -> DataFrame:
