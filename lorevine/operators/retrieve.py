@@ -54,6 +54,19 @@ def build_index(notes: DataFrame) -> Index:
     return Index(postings, stats, frequency)
 
 
+def write_index(index: Index, path: str) -> None:
+    """Store an index: postings and frequencies by field and in ranges of terms, so that a query reads the row groups of its terms only."""
+    for name, table in (("postings", index.postings), ("frequency", index.frequency)):
+        table.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/{name}")
+    index.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")  # one row for each field
+
+
+def read_index(spark, path: str) -> Index:
+    """A stored index."""
+    order = {"postings": ["field", "term", "id", "dl", "tf"], "frequency": ["field", "term", "df"], "stats": ["field", "docs", "avgdl"]}
+    return Index(**{name: spark.read.parquet(f"{path}/{name}").select(*columns) for name, columns in order.items()})
+
+
 def upsert_index(old: Index, changed: DataFrame, removed: DataFrame) -> DataFrame:
     """Postings after notes were changed or removed: the old ones of those ids give way to the new."""
     gone = changed.select("id").unionByName(removed.select("id")).distinct()
@@ -136,7 +149,7 @@ def keyword_scores(index: Index, query: str, contents: DataFrame | None = None)
     score = bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("docs"), F.col("avgdl")) * boosts[F.col("field")]
     flags = [F.max(_matches(c).cast("int")).alias(f"_{k}{i}") for k, i, c in wanted]
     boost = reduce(lambda a, b: a + b, [F.when(_matches(c), F.lit(c["boost"])).otherwise(F.lit(0.0)) for _, _, c in wanted])
-    out = hits.groupBy("id").agg(F.sum(score * boost).alias("score"), *flags)
+    out = hits.groupBy("id").agg(F.round(F.sum(score * boost), 9).alias("score"), *flags)  # rounded, so that the order of summing makes no ties
     for i in range(len(q.must)):
         out = out.where(F.col(f"_m{i}") == 1)
     if q.should and not q.must:
@@ -189,7 +202,7 @@ def usable(v: Column, dims: int) -> Column:
 def vector_scores(vectors: DataFrame, query: list[float]) -> DataFrame:
     """``vectors(..., v)`` with ``score``; vectors that are not usable are left out."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.where(usable(F.col("v"), len(query))).withColumn("score", similarity(F.col("v"), q)).drop("v")
+    return vectors.where(usable(F.col("v"), len(query))).withColumn("score", F.round(similarity(F.col("v"), q), 9)).drop("v")
 
 
 def mean_pool(tokens: DataFrame, key: str, vector: str) -> DataFrame:
@@ -227,7 +240,7 @@ def hybrid(keyword: DataFrame, vector: DataFrame, boosts: DataFrame | None, k: i
     fused = scaled(keyword, KEYWORD_SHARE).unionByName(scaled(vector, VECTOR_SHARE)).groupBy("id").agg(F.sum("part").alias("score"))
     if boosts is not None:
         fused = fused.join(boosts, "id", "left").select("id", (F.col("score") + F.coalesce("boost", F.lit(0.0))).alias("score"))
-    return top(fused, k).select("rank", "id", "score")
+    return top(fused.withColumn("score", F.round("score", 9)), k).select("rank", "id", "score")
 
 
 def overlap_score(query: str, passage: Column) -> Column:

@@ -75,6 +75,19 @@ def test_keyword_search(spark):
     assert ids('broken " quote') == []
 
 
+def test_stored_index(spark, tmp_path):
+    n = notes(spark, CORPUS)
+    index = retrieve.build_index(n)
+    retrieve.write_index(index, f"{tmp_path}/index")
+    stored = retrieve.read_index(spark, f"{tmp_path}/index")
+    want = [tuple(r) for r in retrieve.keyword_search(index, "kafka", 5).collect()]
+    assert want and [tuple(r) for r in retrieve.keyword_search(stored, "kafka", 5).collect()] == want
+    changed = parse(spark.createDataFrame([(9, "kafka.md", "# Queues\nNothing here.")], "ord long, id string, content string"))
+    after = retrieve.upsert_index(stored, changed, n.where("id = 'redis.md'").select("id"))
+    assert {r.id for r in after.select("id").distinct().collect()} == {"spring.md", "kafka.md"}
+    assert after.where("id = 'kafka.md' AND term = 'streaming'").count() == 0
+
+
 def test_boost(spark):
     now = 1_000_000_000_000
     row = spark.createDataFrame([(0, now), (0, now - 302_400_000), (0, now - 604_800_000), (10, None), (None, None)], "i int, t long")
