@@ -13,8 +13,15 @@ from lorevine.runtime import cut
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """Every edge from both ends; an edge of a note to itself occurs twice."""
-    there = edges.select(F.col("source").alias("src"), F.col("target").alias("dst"), "weight", "reasons", "relation_type")
-    return there.unionByName(edges.select(F.col("target").alias("src"), F.col("source").alias("dst"), "weight", "reasons", "relation_type"))
+    return _both_ways(edges, True)
+
+
+def _both_ways(edges: DataFrame, loops_twice: bool) -> DataFrame:
+    """Both directions of every edge from one pass over ``edges``."""
+    there = F.struct(F.col("source").alias("src"), F.col("target").alias("dst"))
+    back = F.struct(F.col("target").alias("src"), F.col("source").alias("dst"))
+    ends = F.array(there, back) if loops_twice else F.when(F.col("source") == F.col("target"), F.array(there)).otherwise(F.array(there, back))
+    return edges.select(F.explode(ends).alias("e"), "weight", "reasons", "relation_type").select("e.src", "e.dst", "weight", "reasons", "relation_type")
 
 
 def degrees(notes: DataFrame, adjacent: DataFrame) -> DataFrame:
@@ -85,13 +92,17 @@ def find_path(adjacent: DataFrame, start: str, end: str) -> DataFrame:
     return spark.createDataFrame(sorted(path), "step int, id string")
 
 
-def contexts(notes: DataFrame, adjacent: DataFrame) -> DataFrame:
-    """``(id, title, neighbour, neighbour_title, weight, relation_type, reasons, place)``: neighbours by weight, ties by id; unknown titles are ids."""
+def contexts(notes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, title, neighbour, neighbour_title, weight, relation_type, reasons, place)``: neighbours by weight, ties by id; unknown titles are ids.
+
+    An edge of a note to itself makes it its own neighbour once.
+    """
+    adjacent = _both_ways(edges, False)
     titles = notes.select(F.col("id").alias("dst"), F.col("title").alias("neighbour_title"))
     place = Window.partitionBy("src").orderBy(F.col("weight").desc(), F.col("dst"))
-    out = adjacent.distinct().join(titles, "dst", "left").withColumn("place", F.row_number().over(place))
+    placed = adjacent.withColumn("place", F.row_number().over(place))
     named = notes.select(F.col("id").alias("src"), "title")
-    return out.join(named, "src").select(F.col("src").alias("id"), "title", F.col("dst").alias("neighbour"), F.coalesce("neighbour_title", "dst").alias("neighbour_title"), "weight", "relation_type", F.array_join("reasons", ",").alias("reasons"), "place")
+    return placed.join(named, "src").join(titles, "dst", "left").select(F.col("src").alias("id"), "title", F.col("dst").alias("neighbour"), F.coalesce("neighbour_title", "dst").alias("neighbour_title"), "weight", "relation_type", F.array_join("reasons", ",").alias("reasons"), "place")
 
 
 def graph_json(notes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -376,7 +376,7 @@ SELECT s.id, s.title, u.dst AS neighbour, coalesce(t.title, u.dst) AS neighbour_
 FROM u JOIN notes s ON s.id = u.src LEFT JOIN notes t ON t.id = u.dst""")
 def note_context(spark, d):
     notes = _notes(spark, d)
-    return graph.contexts(notes, graph.adjacency(relate.build_edges(notes)))
+    return graph.contexts(notes, relate.build_edges(notes))
 
 
 @query()
