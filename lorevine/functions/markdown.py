@@ -210,12 +210,12 @@ def render_note(note_title: Column, note_body: Column, note_tags: Column, note_l
 
 def size_bucket(n: Column) -> Column:
     """Power-of-two bucket of a size as text: ``0`` or ``lower-upper``."""
-    low = F.shiftleft(F.lit(1).cast("long"), (F.length(F.bin(n)) - 1).cast("int")) if False else F.pow(F.lit(2.0), F.length(F.bin(n)) - 1).cast("long")
+    low = F.pow(F.lit(2.0), F.length(F.bin(n)) - 1).cast("long")
     return F.when(n <= 0, F.lit("0")).otherwise(F.concat(low.cast("string"), F.lit("-"), (low * 2).cast("string")))
 
 
-def content_signature(content: Column) -> Column:
-    """First 24 hex digits of the SHA-256 of a text's shape: size buckets and flags, no content."""
+def content_signature(content: Column, kind: str = "text") -> Column:
+    """First 24 hex digits of the SHA-256 of a text's shape: a label of its kind, size buckets and flags, no content."""
     content = text(content)
     words = F.filter(F.split(content, r"\s+"), lambda x: x != "")
     line_count = F.when(content == "", F.lit(0)).otherwise(F.length(content) - F.length(F.replace(content, F.lit("\n"))) + 1)
@@ -226,7 +226,7 @@ def content_signature(content: Column) -> Column:
         return F.when(c, F.lit("1")).otherwise(F.lit("0"))
 
     shape = F.concat_ws(
-        "|", F.lit("kompress-text"), F.concat(F.lit("chars:"), size_bucket(F.length(content))), F.concat(F.lit("words:"), size_bucket(F.size(words))), F.concat(F.lit("lines:"), size_bucket(line_count)),
+        "|", F.lit(kind), F.concat(F.lit("chars:"), size_bucket(F.length(content))), F.concat(F.lit("words:"), size_bucket(F.size(words))), F.concat(F.lit("lines:"), size_bucket(line_count)),
         F.concat(F.lit("avg_line:"), size_bucket(average)), F.concat(F.lit("paths:"), flag(F.regexp_like(content, F.lit(r"[/\\]")))), F.concat(F.lit("assign:"), flag(F.exists(F.slice(words, 1, 200), lambda w: F.contains(w, F.lit("="))))),
         F.concat(F.lit("brackets:"), flag(F.regexp_like(content, F.lit(r"[{}\[\]()]")))), F.concat(F.lit("errors:"), flag(F.regexp_like(F.lower(content), F.lit("error|exception|traceback|failed|fatal")))))
     return F.substring(F.sha2(shape, 256), 1, 24)

@@ -238,7 +238,7 @@ def bucket_sql(n: str) -> str:
 
 @query(rf"""
 WITH c AS (SELECT id, content, list_filter(string_split_regex(content, '\s+'), lambda x: x <> '') AS w, list_filter(string_split_regex(content, '\r\n|[\n\r]'), lambda x: regexp_matches(x, '\S')) AS f FROM notes)
-SELECT id, substr(sha256(concat_ws('|', 'kompress-text', 'chars:' || {bucket_sql('length(content)')}, 'words:' || {bucket_sql('len(w)')},
+SELECT id, substr(sha256(concat_ws('|', 'text', 'chars:' || {bucket_sql('length(content)')}, 'words:' || {bucket_sql('len(w)')},
  'lines:' || {bucket_sql("CASE WHEN content = '' THEN 0 ELSE length(content) - length(replace(content, chr(10), '')) + 1 END")},
  'avg_line:' || {bucket_sql("CASE WHEN len(f) > 0 THEN CAST(list_sum(list_transform(f, lambda x: length(x))) AS BIGINT) // len(f) ELSE 0 END")},
  'paths:' || CASE WHEN regexp_matches(content, '[/\\]') THEN '1' ELSE '0' END, 'assign:' || CASE WHEN len(list_filter(list_slice(w, 1, 200), lambda x: contains(x, '='))) > 0 THEN '1' ELSE '0' END,
