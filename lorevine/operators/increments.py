@@ -9,6 +9,9 @@ replaces an existing version.
 
 Records that arrive late carry a higher sequence than the watermark, however old their own timestamps are, so they are picked up.
 
+``run`` adds an output for each window; ``fold`` keeps one state, which each window replaces (folders of earlier states stay, unreferenced).
+``next_pending`` folds the latest change per note id and judges all of that state, so a run after the first has what the whole log would give.
+
 Defined results: a null sequence is no committed record and is read by no run; an empty log leaves the watermark where it was; repeated
 rows are handed on as they are (``latest_changes`` folds them); extra columns pass through.
 """
@@ -73,14 +76,14 @@ class IncrementStore:
         high = log.agg(F.max(sequence)).first()[0]
         return Window(low, high if high is not None and (low is None or high > low) else None)
 
-    def commit(self, output: DataFrame, window: Window) -> str | None:
+    def commit(self, output: DataFrame, window: Window, replace: bool = False) -> str | None:
         """Write ``output`` and publish it together with the new watermark; an empty window commits nothing."""
         if window.high is None:
             return None
         self._expect(window)
         folder = f"{self.path}/outputs/{uuid.uuid4().hex}"
         output.write.parquet(folder)
-        return self.publish(folder, window)
+        return self.publish(folder, window, replace)
 
     def _expect(self, window: Window) -> dict:
         state = self.state()
@@ -88,10 +91,10 @@ class IncrementStore:
             raise RuntimeError(f"another run has moved the watermark from {window.low} to {state['watermark']}")
         return state
 
-    def publish(self, folder: str, window: Window) -> str:
-        """Make a folder that is already written an output, together with the new watermark."""
+    def publish(self, folder: str, window: Window, replace: bool = False) -> str:
+        """Make a folder that is already written an output, or with ``replace`` the only one, together with the new watermark."""
         state = self._expect(window)
-        state = {"version": state["version"] + 1, "watermark": window.high, "outputs": [*state["outputs"], folder]}
+        state = {"version": state["version"] + 1, "watermark": window.high, "outputs": [folder] if replace else [*state["outputs"], folder]}
         draft = self._path(f"{self.path}/manifests/draft-{uuid.uuid4().hex}")
         stream = self._fs.create(draft)
         stream.write(json.dumps(state).encode())
@@ -107,17 +110,31 @@ class IncrementStore:
         window = self.window(log, sequence)
         return None if window.high is None else self.commit(step(window.rows(log, sequence)), window)
 
+    def fold(self, log: DataFrame, sequence: str, step: Callable[[DataFrame, DataFrame], DataFrame], schema) -> DataFrame:
+        """One whole run of ``step`` over the committed state and the new rows, which gives the state that replaces it; the state then committed."""
+        window = self.window(log, sequence)
+        if window.high is not None:
+            self.commit(step(self.outputs(schema), window.rows(log, sequence)), window, replace=True)
+        return self.outputs(schema)
+
     def outputs(self, schema) -> DataFrame:
         """All committed outputs."""
         folders = self.state()["outputs"]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
 
+#: Columns of ``latest_changes``.
+LATEST = "id string, op string, modified_ms long, change_id long"
+
+
 def latest_changes(changes: DataFrame) -> DataFrame:
-    """The last change per note id: largest ``modified_ms`` (null lowest), then largest ``change_id``; null ids are left out."""
+    """The last change per note id: largest ``modified_ms`` (null lowest), then largest ``change_id``; null ids are left out.
+
+    Folding a result again, with further changes or without, gives the last change of all.
+    """
     key = F.struct(F.col("modified_ms"), F.col("change_id"))
     return changes.where(F.col("id").isNotNull()).groupBy("id").agg(
-        F.max_by(F.upper(F.trim("op")), key).alias("op"), F.max("modified_ms").alias("modified_ms"), F.max("change_id").alias("change_id"))
+        F.max_by(F.upper(F.trim("op")), key).alias("op"), F.max("modified_ms").alias("modified_ms"), F.max_by("change_id", key).alias("change_id"))
 
 
 def valid_entries(entries: DataFrame, runs: DataFrame) -> DataFrame:
@@ -128,12 +145,25 @@ def valid_entries(entries: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def pending_ids(changes: DataFrame, entries: DataFrame, runs: DataFrame) -> DataFrame:
-    """Note ids of ``changes`` that still have to be handled, given what successful runs have left in ``entries``.
+    """Note ids of ``changes``, a whole log, that still have to be handled, given what successful runs have left in ``entries``.
 
     A deleted note is pending while a valid entry exists; another one while none exists or the newest one is older than the last change.
     The test is against what was committed, so a note whose run failed stays pending, and one handled already is not done again.
     """
-    last, done = latest_changes(changes), valid_entries(entries, runs)
+    return _judged(latest_changes(changes), entries, runs)
+
+
+def next_pending(store: IncrementStore, changes: DataFrame, entries: DataFrame, runs: DataFrame) -> DataFrame:
+    """The same ids from the new rows of ``changes`` and the latest change per id that earlier runs have committed; commits the latter anew.
+
+    The whole state is judged, also when no row is new: entries and runs change without the log.
+    """
+    last = store.fold(changes, "change_id", lambda old, new: latest_changes(old.unionByName(new.select(old.columns))), LATEST)
+    return _judged(last, entries, runs)
+
+
+def _judged(last: DataFrame, entries: DataFrame, runs: DataFrame) -> DataFrame:
+    done = valid_entries(entries, runs)
     gone = F.col("op") == "DELETE"
     indexed = F.col("indexed_ms")
     open_ = F.when(gone, indexed.isNotNull()).otherwise(indexed.isNull() | (indexed < F.col("modified_ms")))

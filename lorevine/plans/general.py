@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorevine.operators.increments import IncrementStore, pending_ids
+from lorevine.operators.increments import IncrementStore, next_pending
 from lorevine.runtime import scratch, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids the next indexing run has to handle, read from the output that a first run of a fresh store has committed."""
+    """Ids the next indexing run has to handle, judged on the latest changes that a first run of a fresh store has committed."""
     changes, entries, runs = (table(spark, sf_dir, t) for t in ("note_changes", "cache_entries", "index_runs"))
     store = IncrementStore(spark, scratch(spark, "pending"))
-    store.run(changes, "change_id", lambda new: pending_ids(new, entries, runs))
-    return store.outputs("id string")
+    return next_pending(store, changes, entries, runs)
 
 
 QUERIES = {"p3_found": p3_found}

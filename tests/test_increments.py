@@ -3,10 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lorevine.operators.increments import IncrementStore, pending_ids
+from lorevine.operators.increments import IncrementStore, next_pending, pending_ids
 from lorevine.operators.mutate import debounced
 from lorevine.sources.notes import Snapshot
 from lorevine.streaming.watch import CHANGES, read_changes, sessions, watch
+from tests.compare import DATA
 
 LOG = "change_id long, id string, op string, modified_ms long"
 
@@ -51,6 +52,36 @@ def test_pending(spark):
     assert pending_ids(changes.limit(0), entries, runs).count() == 0
 
 
+def test_pending_over_windows(spark, tmp_path):
+    log = [(1, "failed", "CREATE", 1), (2, "late", "CREATE", 9), (3, "gone", "DELETE", 9), (4, "lost", "CREATE", 1), (5, "fresh", "CREATE", 1)]
+    more = [(6, "late", "DELETE", 4), (7, "gone", "MODIFY", 4), (8, "fresh", "MODIFY", 7), (9, None, "CREATE", 1)]
+    entries = spark.createDataFrame([("failed", 1, 2), ("late", 9, 1), ("lost", 1, 3), ("fresh", 1, 1)], "id string, last_modified long, run_id long")
+    runs = lambda *ok: spark.createDataFrame([(r, "ok" if r in ok else "failed") for r in (1, 2, 3)], "run_id long, status string")
+    store = IncrementStore(spark, f"file://{tmp_path}/s")
+
+    def ask(rows, ok):
+        return sorted(r.id for r in next_pending(store, spark.createDataFrame(rows, LOG), entries, ok).collect())
+
+    assert ask(log, runs(1, 3)) == ["failed"]
+    # late rows do not outrank what was consumed; the note of the failed run has no new row
+    assert ask(log + more, runs(1, 3)) == ["failed", "fresh"]
+    # no new rows: one run was repaired, another one turned out to have failed
+    assert ask(log + more, runs(1, 2)) == ["fresh", "lost"]
+    # a run that dies before its commit changes nothing
+    with pytest.raises(Exception):
+        store.fold(spark.createDataFrame([*log, *more, (10, "x", "CREATE", 1)], LOG), "change_id", lambda old, new: old.select(F.raise_error(F.lit("lost")).alias("id")), "id string")
+    assert store.watermark() == 9 and ask([*log, *more, (10, "x", "CREATE", 1)], runs(1, 2)) == ["fresh", "lost", "x"]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the test tables are not here")
+def test_pending_windows_of_tables(spark, tmp_path):
+    changes, entries, runs = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("note_changes", "cache_entries", "index_runs"))
+    store, last = IncrementStore(spark, f"file://{tmp_path}/s"), changes.agg(F.max("change_id")).first()[0]
+    for part in (1, 2, 3):
+        seen = changes.where(F.col("change_id") <= last * part // 3)
+        assert sorted(next_pending(store, seen, entries, runs).collect()) == sorted(pending_ids(seen, entries, runs).collect())
+
+
 def test_debounce(spark):
     e = spark.createDataFrame([("a", 0), ("a", 400), ("a", 900), ("b", 0), (None, 3), ("a", None)], "k string, ms long").withColumn("ts", F.timestamp_millis("ms"))
     got = {(r.k, r.session): r.events for r in debounced(e, "k", "ts", 500).collect()}
