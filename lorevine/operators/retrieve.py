@@ -175,6 +175,32 @@ def keyword_search(index: Index, query: str, k: int) -> DataFrame:
     return top(keyword_scores(index, query), k).select("rank", "id", "score")
 
 
+def link_query(title: Column, body: Column) -> Column:
+    """What a note asks for to find links: its title and the first 500 characters of its body."""
+    return F.trim(F.concat(text(title), F.lit(" "), F.substring(text(body), 1, 500)))
+
+
+def keyword_links(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """``(src, id, score, rank)``: for each of ``queries(src, text)`` the other notes among the ``k`` that ``keyword_search`` gives for the words of ``text``, in one pass.
+
+    All words must match (a repeated one counts again), so the candidates of a query are the notes with its rarest word; texts without words find nothing.
+    The note ``src`` takes one of the ``k`` places, so it is scored only where ``k`` other candidates want them; ``rank`` gives the order.
+    Query syntax is not looked for: everything in a text is words.
+    """
+    words = queries.select("src", F.explode(terms(F.col("text"))).alias("term")).groupBy("src", "term").agg(F.count("*").alias("times"))
+    holders = index.postings.select("term", "id").distinct()
+    spread = words.join(holders.groupBy("term").agg(F.count("*").alias("notes")), "term", "left")
+    rarest = spread.groupBy("src").agg(F.min_by("term", F.struct(F.coalesce("notes", F.lit(0)), "term")).alias("term"), F.count("*").alias("need"))
+    others = F.count(F.when(F.col("id") != F.col("src"), 1)).over(Window.partitionBy("src"))
+    found = rarest.join(holders, "term").select("src", "id", "need", others.alias("others")).where((F.col("others") >= k) | (F.col("id") != F.col("src"))).drop("others")
+    hits = found.join(words, "src").join(index.postings, ["term", "id"]).join(index.frequency, ["field", "term"]).join(F.broadcast(index.stats), "field")  # five fields
+    boosts = F.create_map(*[x for f, b in FIELDS.items() for x in (F.lit(f), F.lit(b))])
+    score = bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("docs"), F.col("avgdl")) * boosts[F.col("field")] * F.col("times")
+    scored = hits.groupBy("src", "id", "need").agg(F.round(F.sum(score), 9).alias("score"), F.countDistinct("term").alias("matched")).where("matched = need")
+    place = Window.partitionBy("src").orderBy(F.col("score").desc(), "id")
+    return scored.select("src", "id", "score", F.row_number().over(place).alias("rank")).where((F.col("rank") <= k) & (F.col("id") != F.col("src")))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

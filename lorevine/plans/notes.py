@@ -561,6 +561,27 @@ def autolink_new(spark, d):
     return _autolinked(spark, d).select("id", F.array_join("new_links", ",").alias("links"))
 
 
+@query(f"""WITH {INDEX_SQL}, {BODY_SQL},
+qw AS (SELECT n.id AS src, unnest(regexp_extract_all(lower(coalesce(n.title, '') || ' ' || substr(coalesce(b.body, ''), 1, 500)), '[a-z0-9]+')) AS term FROM notes n LEFT JOIN bodies b ON n.id = b.id),
+qt AS (SELECT src, term, count(*) AS times FROM qw GROUP BY src, term), need AS (SELECT src, count(*) AS n FROM qt GROUP BY src),
+sc AS (SELECT qt.src, p.id, count(DISTINCT p.term) AS m, round(sum(qt.times * CASE p.field WHEN 'title' THEN 3.0 WHEN 'content' THEN 1.0 ELSE 2.0 END::DOUBLE * ln(1.0 + (s.docs - f.df + 0.5) / (f.df + 0.5)) * p.tf / (p.tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * p.dl / s.avgdl))), 9) AS score
+  FROM qt JOIN post p ON p.term = qt.term JOIN dfs f ON p.field = f.field AND p.term = f.term JOIN stats s ON s.field = p.field GROUP BY qt.src, p.id),
+hit AS (SELECT sc.src, sc.id, score, row_number() OVER (PARTITION BY sc.src ORDER BY score DESC, sc.id) AS r FROM sc JOIN need ON sc.src = need.src WHERE m = n QUALIFY r <= 5),
+ok AS (SELECT src, list(id ORDER BY r) AS f FROM hit WHERE score >= 0.3 AND id <> src GROUP BY src)
+SELECT n.id, array_to_string(list_sort(list_distinct(list_concat(coalesce(n.wiki_links, []), coalesce(f, [])))), ',') AS links,
+  array_to_string(list_filter(coalesce(f, []), lambda x: NOT coalesce(list_contains(n.wiki_links, x), false)), ',') AS new_links FROM notes n LEFT JOIN ok ON n.id = ok.src""")
+def auto_links(spark, d):
+    """Links of every note, given and found from its own text."""
+    notes = _notes(spark, d)
+    index = retrieve.build_index(notes)
+    postings = cut(index.postings, "postings")
+    index = retrieve.Index(postings, index.stats, postings.groupBy("field", "term").agg(F.count("*").alias("df")))
+    queries = notes.select(F.col("id").alias("src"), retrieve.link_query(F.col("title"), md.body(F.col("content"))).alias("text"))
+    hits = retrieve.keyword_links(index, queries, 5).select(F.col("src").alias("id"), F.col("id").alias("other"), "score", "rank")
+    linked = mutate.autolinks(notes.select("id", F.col("wiki_links").alias("links")), hits)
+    return linked.select("id", F.array_join(F.array_sort("all_links"), ",").alias("links"), F.array_join("new_links", ",").alias("new_links"))
+
+
 @query("SELECT query_id, id, CAST(count(DISTINCT list_name) AS BIGINT) AS lists, CAST(min(list_rank) AS INTEGER) AS best_rank FROM search_results WHERE id IS NOT NULL GROUP BY query_id, id")
 def multi_list_merge(spark, d):
     return table(spark, d, "search_results").where("id IS NOT NULL").groupBy("query_id", "id").agg(F.countDistinct("list_name").alias("lists"), F.min("list_rank").alias("best_rank"))

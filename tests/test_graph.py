@@ -1,8 +1,11 @@
 """Literal cases of the graph and of retrieval."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from lorevine.functions.markdown import body
 from lorevine.operators import graph, mutate, relate, retrieve
 from lorevine.sources.notes import parse, read_files, write_files
 
@@ -88,6 +91,22 @@ def test_stored_index(spark, tmp_path):
     assert after.where("id = 'kafka.md' AND term = 'streaming'").count() == 0
 
 
+def test_links_from_own_text(spark):
+    corpus = {**CORPUS, "stub.md": "# Kafka\n", "copy.md": CORPUS["kafka.md"], "redis-apps.md": "# Redis\n#backend apps, redis apps\n", "none.md": "# !\n", "unheard.md": "# Kafka unheard\nzebra " + "x" * 600}
+    n = notes(spark, corpus).cache()
+    index = retrieve.build_index(n)
+    texts = n.select(F.col("id").alias("src"), retrieve.link_query(F.col("title"), body(F.col("content"))).alias("text"))
+    for k in (1, 2, 5):
+        got = {}
+        for r in retrieve.keyword_links(index, texts, k).orderBy("rank").collect():
+            got.setdefault(r.src, []).append((r.id, r.score))
+        found = {r.src: retrieve.keyword_search(index, " ".join(re.findall("[a-z0-9]+", r.text.lower())), k).orderBy("rank").collect() for r in texts.collect()}
+        want = {src: [(h.id, h.score) for h in hits if h.id != src] for src, hits in found.items()}
+        assert got == {src: hits for src, hits in want.items() if hits}
+    assert [i for i, _ in got["copy.md"]] == ["kafka.md"] and len(got["stub.md"]) > 1 and "redis.md" in dict(got["redis-apps.md"])
+    assert not {"none.md", "unheard.md"} & set(got)
+
+
 def test_boost(spark):
     now = 1_000_000_000_000
     row = spark.createDataFrame([(0, now), (0, now - 302_400_000), (0, now - 604_800_000), (10, None), (None, None)], "i int, t long")
