@@ -47,7 +47,7 @@ TEXTTT = re.compile(r"\\(?:texttt|verb\*?|lstinline)(?:\{([^{}]*)\}|([|!+])(.*?)
 MATH_TAG = re.compile(r"<math\b[^<>]*>(.*?)</math\s*>", re.S | re.I)
 MATH_ENV = re.compile(r"\\begin\{(equation|align|gather|multline|eqnarray|displaymath|math)\*?\}(.*?)\\end\{\1\*?\}", re.S)
 DISPLAY = re.compile(r"\$\$(?=[^\s$]|\s+\S)(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)", re.S)
-DOLLAR = re.compile(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]{0,400}?[^\s$\\])\$(?![\w$])")
+DOLLAR = re.compile(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]*?[^\s$\\])\$(?![\w$])")
 #: A formula between single dollars holds at least one of these, or is a single letter: prices are not formulas.
 MATHS = re.compile(r"[\\^_={}<>]|^[A-Za-z]$|[A-Za-z\d)]\s*[+*/-]\s*[A-Za-z\d(]")
 COMMAND = re.compile(r"(?<![\w\\:])\\(?:(?:" + "|".join(sorted(COMMANDS, key=len, reverse=True)) + r")(?![a-zA-Z])|[a-zA-Z]+\*?(?=[\[{]))")

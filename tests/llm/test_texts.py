@@ -66,6 +66,13 @@ def test_search_scores(spark):
 
 # ---- markup
 
+def test_long_formula():
+    formula = "$" + " + ".join(f"a_{i}" for i in range(150)) + "$"
+    assert len(formula) > 1000 and markup.clean(f"So {formula} holds.") == (f"So {formula} holds.", {"latex mathematics"})
+    prices = "From $5 " + "and more words " * 60 + "up to $10, all of it text."
+    assert markup.clean(prices) == (prices, set())
+
+
 @pytest.mark.parametrize("text", ["a < b and c > d", "x <b yields> y", "R&D for $5 to $9", "2 * 3 * 4", "issue #74 at a_b_c", "C:\\dir\\alpha \\\\host\\share", "path a.b\\alpha\\beta", "f(x) = 3x + 2 (see [33])", "2.0 ~ 15", "plain\nlines - with dashes", "5 > 3\nit's 'fine'", ""])
 def test_plain_text_has_no_markup(text):
     assert markup.clean(text) == (text, set())
