@@ -371,6 +371,14 @@ def shortest_path(spark, d):
     return path.agg(F.max("step").alias("length")).where("length IS NOT NULL").select(F.lit(START).alias("source"), F.lit(END).alias("target"), "length")
 
 
+@query(f"""WITH RECURSIVE {EDGES_SQL}, bfs(id, n) AS (SELECT '{START}', 0 UNION SELECT adj.dst, bfs.n + 1 FROM bfs JOIN adj ON adj.src = bfs.id WHERE bfs.n < 4),
+dist AS (SELECT id, min(n) AS n FROM bfs GROUP BY id), par AS (SELECT adj.dst AS id, dist.n + 1 AS n, min(adj.src) AS parent FROM adj JOIN dist ON dist.id = adj.src GROUP BY adj.dst, dist.n + 1),
+back(step, id) AS (SELECT n, id FROM dist WHERE id = '{END}' UNION ALL SELECT back.step - 1, par.parent FROM back JOIN par ON par.id = back.id AND par.n = back.step WHERE back.step > 0)
+SELECT CAST(step AS INTEGER) AS step, id FROM back""")
+def shortest_path_notes(spark, d):
+    return graph.find_path(_adjacent(spark, d), START, END)
+
+
 @query(f"""WITH {EDGES_SQL}, u AS (SELECT DISTINCT * FROM adj)
 SELECT s.id, s.title, u.dst AS neighbour, coalesce(t.title, u.dst) AS neighbour_title, u.weight, u.relation_type, u.reasons, CAST(row_number() OVER (PARTITION BY u.src ORDER BY u.weight DESC, u.dst) AS INTEGER) AS place
 FROM u JOIN notes s ON s.id = u.src LEFT JOIN notes t ON t.id = u.dst""")
