@@ -41,6 +41,11 @@ def compress_threshold(content: Column, score: Callable[[Column], Column] = leng
     return let(split_words(content), shorten)
 
 
+def compress_long(content: Column, compress: Callable[[Column], Column] = compress_threshold) -> Column:
+    """Texts of at least ``LEAST_CHARS`` characters compressed; shorter ones, and null, as they are."""
+    return F.when(F.length(content) >= LEAST_CHARS, compress(content)).otherwise(content)
+
+
 def compress_share(content: Column, ratio: float, score: Callable[[Column], Column] = length_score) -> Column:
     """Of each window the ``max(1, floor(n * ratio))`` best words (ties by position) in their order; short texts stay as they are."""
     def window(words: Column, at: Column) -> Column:

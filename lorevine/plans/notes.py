@@ -611,6 +611,15 @@ def compress_threshold(spark, d):
     return _documents(spark, d).select("doc_id", compress.compress_threshold(F.col("text")).alias("compressed"))
 
 
+@query(f"""WITH {hybrid_sql(5)}, gx AS (SELECT r.id, score, substr(coalesce(n.content, ''), 1, 600) AS x FROM ranked r JOIN notes n ON n.id = r.id),
+gw AS (SELECT *, list_filter(string_split_regex(x, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS ws FROM gx), gk AS (SELECT *, list_filter(ws, lambda w: {SCORE_SQL} > 0.5) AS kept FROM gw)
+SELECT id, floor(score * 100 + 0.5) / 100 AS score, CASE WHEN length(x) < 300 OR len(ws) < 10 OR len(kept) = 0 THEN x ELSE array_to_string(kept, ' ') END AS excerpt FROM gk""")
+def gather_compressed(spark, d):
+    """The sources of ``gather_sources`` with their excerpts compressed, short ones as they are."""
+    hits = _hybrid(spark, d, 5).join(_notes(spark, d).select("id", md.text(F.col("content")).alias("content")), "id")
+    return hits.select("id", (F.floor(F.col("score") * 100 + 0.5) / 100).alias("score"), compress.compress_long(F.substring("content", 1, 600)).alias("excerpt"))
+
+
 @query(f"""WITH {WORDS_SQL}, x AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM ws), s AS (SELECT *, i // 350 AS win, {SCORE_SQL} AS s FROM x),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, win ORDER BY s DESC, i) AS r, count(*) OVER (PARTITION BY doc_id, win) AS n FROM s),
 o AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS c FROM r WHERE r <= greatest(1, floor(n * 0.6::DOUBLE)) GROUP BY doc_id)

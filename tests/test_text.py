@@ -75,6 +75,13 @@ def test_compression(spark):
     assert one(spark, compress.compress_threshold(F.col("c")), c=None) == ""
 
 
+def test_length_guard(spark):
+    words = "an extraordinary " * 18  # 306 characters
+    guarded = compress.compress_long(F.col("c"))
+    assert one(spark, guarded, c=words[:299]) == words[:299] and one(spark, guarded, c=None) is None
+    assert one(spark, guarded, c="x" + words[:299]) == " ".join((("x" + words[:299]).split())[1::2])
+
+
 def test_model_compression(spark):
     df = spark.createDataFrame([(1, "keep drop " * 10), (2, None), (3, "fail " * 12)], "k int, t string")
 
