@@ -249,6 +249,121 @@ def test_restore_never_fails(text):
     mojibake.restore(text)
 
 
+# ---- encodings over many languages
+
+SENTENCES = {
+    'hu': 'Az árvíztűrő tükörfúrógép győri műhelyében készült, és öt évig működött.',
+    'ro': 'Așa și-a amintit că țările vecine au fost în fața unei încercări grele.',
+    'ro2': 'Aşa şi-a amintit că ţările vecine au fost în faţa unei încercări grele.',
+    'is': 'Það er mjög gott að vera hér þegar sólin skín á fjöllin í byrjun október.',
+    'pl': 'Zażółć gęślą jaźń, a potem źdźbło i łąka.',
+    'cs': 'Příliš žluťoučký kůň úpěl ďábelské ódy.',
+    'sk': 'Kŕdeľ šťastných ďatľov učí pri ústí Váhu mĺkveho koňa.',
+    'sv': 'Flygande bäckasiner söka hwila på mjuka tuvor, säger någon från Malmö.',
+    'da': 'Høj bly gom vandt fræk sexquiz på wc, åh nej.',
+    'nb': 'Vår sære Zulu fra badeøya spilte jo whist.',
+    'fi': 'Törkylempijävongahdus ja hyvää yötä äiti.',
+    'et': 'Põdur Zagrebi tšellomängija-följetonist Ciqo külmetas kehvas garaažis.',
+    'lv': 'Glāžšķūņa rūķīši dzērumā čiepj Baha koncertflīģeļu vākus.',
+    'lt': 'Įlinkdama fechtuotojo špaga sublykčiojusi pragręžė apvalų arbūzą.',
+    'sl': 'Hišničin bratec vzgaja polže pod fikusom, čeprav žuga.',
+    'hr': 'Gojazni đačić s biciklom drži hmelj i finu vatu u džepu nošnje, čuješ li.',
+    'sq': 'Unë mund të ha qelq dhe nuk më gjen gjë, çfarë është kjo.',
+    'tr': "Pijamalı hasta yağız şoföre çabucak güvendi; İstanbul'da ığdır.",
+    'az': 'Zəfər, jaketini də papağını da götür, bu axşam hava çox soyuq olacaq.',
+    'ca': "Jove xef, porti whisky amb quinze glaçons d'hidrogen, coi! La col·lecció és aquí.",
+    'gl': 'Viaxeiros no camiño, señor, están alí por última vez.',
+    'es': 'El pingüino Wenceslao hizo kilómetros bajo exhaustiva lluvia; ¿qué señor? ¡Ñandú!',
+    'pt': 'Luís argüia à Júlia que «brações, fé, chá, óxido, pôr, zângão» eram palavras.',
+    'fr': "Voix ambiguë d’un cœur qui, au zéphyr, préfère les jattes de kiwis. « Déjà vu… » dit-il : l'été…”",
+    'de': 'Zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich – „Ä“ und „Ö“. ',
+    'it': "Perché la città è così, più giù c'è un caffè.",
+    'nl': "Pa's wijze lynx bezag vroom het fikse aquaduct, coöperatie en reünie.",
+    'cy': 'Parciais fy jac codi baw hud llawn dŵr ger tŷ Mabon, ŵyr.',
+    'ga': 'Chuaigh bé mhórsách le dlúthspád fíorfhinn trí hata mo dhea-phorcáin bhig in hÉireann.',
+    'mt': 'Il-ħobż taż-żiju ġie mġarrab minn ċkejken.',
+    'eo': 'Eĥoŝanĝo ĉiuĵaŭde kaj aĝo.',
+    'vi': 'Tiếng Việt rất đẹp, những người bạn của tôi ở Hà Nội đều nói vậy.',
+    'ru': 'Съешь ещё этих мягких французских булок, да выпей чаю.',
+    'uk': "Щастям б'єш жук їх глицю в фон й ґедзь пріч. ВІДІЛІТЬ ТІЛІ. Її він.",
+    'be': "У рудога вераб'я ў сховішчы ляжаць арэхі.",
+    'bg': 'Жълтата дюля беше щастлива, че пухът цъфна и ѝ каза.',
+    'sr': 'Љубазни фењерџија чађавог лица хоће да ми покаже штос.',
+    'mk': 'Ѕидарски пејзаж: шугав билмез со чудење џвака ќофте и кељ на туѓ цех.',
+    'kk': 'Қазақстан — біздің Отанымыз, әр адам үшін өте ғажап жер.',
+    'el': 'Ξεσκεπάζω την ψυχοφθόρα βδελυγμία, ΐ και ΰ.',
+    'ar': 'نص حكيم له سر قاطع وذو شأن عظيم مكتوب على ثوب أخضر',
+    'he': 'דג סקרן שט בים מאוכזב ולפתע מצא חברה',
+    'fa': 'همه\u200cی افراد بشر آزاد به دنیا می\u200cآیند',
+    'hi': 'ऋषियों को सताने वाले दुष्ट राक्षसों के राजा',
+    'th': 'เป็นมนุษย์สุดประเสริฐเลิศคุณค่า',
+    'ja': 'いろはにほへと ちりぬるを、東京の天気は良いです。',
+    'zh': '天地玄黄，宇宙洪荒。日月盈昃，辰宿列张。',
+    'zht': '視野無限廣，窗外有藍天。',
+    'ko': '키스의 고유조건은 입술끼리 만나야 하고 특별한 기술은 필요치 않다.',
+    'ka': 'ბაყაყმა ქვევრში წყალი ნახა',
+    'hy': 'Բել դղյակի ձախ ժամն օֆ',
+    'am': 'ሰው እንደ ቤቱ እንጅ እንደ ጉረቤቱ አይተዳደርም',
+    'en': 'The naïve café in Zürich was run by Mr. Łukasz Žižek and Þór of Malmö.',
+    'mix': 'Der Präsident Václav Havel traf Lech Wałęsa in Besançon und Győr.',
+    'caps': 'CAFÉ… MÊME ÖSTERREICH „ÄÖÜ“ ŻÓŁĆ ČEŠTINA ÚŽASNÉ ÍŠ À LA',
+    'sv2': '- Å…\n- Ö”\n- É»',
+    'yo': 'Ọjọ́ tí ó dára ni ọ̀rẹ́ mi',
+    'mi': 'Tēnā koutou, he aha te mea nui o te ao?',
+    'sw': 'Habari yako – nzuri sana',
+    'id': 'Apa kabar? “Baik”…',
+    'no2': '° 20 °C ± 3 µm × 2 ² ½',
+}
+
+
+def misread(text: str, encoding: str) -> str:
+    """``text`` in UTF-8 read as a legacy encoding; bytes that it does not define become control characters."""
+    return "".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in text.encode("utf-8"))
+
+
+@pytest.mark.parametrize("name", SENTENCES)
+def test_right_text_stays(name):
+    assert mojibake.restore(SENTENCES[name]) == (SENTENCES[name], [])
+
+
+@pytest.mark.parametrize("encoding", ["latin-1", "cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r"])
+@pytest.mark.parametrize("name", [k for k in SENTENCES if k not in ("en", "mix", "caps", "sv2", "no2", "id", "sw")])
+def test_misread_sentences(name, encoding):
+    fixed, why = mojibake.restore(misread(SENTENCES[name], encoding))
+    assert why and fixed == SENTENCES[name]
+
+
+@pytest.mark.parametrize("rounds", [2, 3, 6, 9])
+@pytest.mark.parametrize("name", ["hu", "ru", "fr", "ja", "vi", "ar"])
+def test_any_number_of_rounds(name, rounds):
+    text = SENTENCES[name]
+    for _ in range(rounds):
+        text = misread(text, "cp1252")
+    assert mojibake.restore(text)[0] == SENTENCES[name]
+
+
+@pytest.mark.parametrize(("name", "encoding"), [("ja", "cp932"), ("ja", "euc_jp"), ("zh", "gbk"), ("zht", "big5"), ("ko", "euc_kr")])
+@pytest.mark.parametrize("wrong", ["latin-1", "cp1252"])
+def test_double_byte_read_as_western(name, encoding, wrong):
+    text = "".join(bytes([b]).decode(wrong, "ignore") or chr(b) for b in SENTENCES[name].encode(encoding))
+    assert mojibake.restore("plain line\n" + text)[0] == "plain line\n" + SENTENCES[name]
+
+
+def test_utf8_read_as_double_byte():
+    assert mojibake.restore(SENTENCES["ru"].encode().decode("gbk"))[0] == SENTENCES["ru"]
+
+
+@pytest.mark.parametrize(("name", "right", "wrong"), [("hu", "cp1250", "cp1252"), ("ro2", "cp1250", "cp1252"), ("pl", "cp1250", "cp1252"), ("ru", "cp1251", "cp1252"), ("ru", "koi8_r", "cp1251"), ("ru", "cp866", "cp1251"), ("el", "cp1253", "cp1252"),
+    ("ar", "cp1256", "cp1252"), ("tr", "cp1254", "cp1252"), ("lt", "cp1257", "cp1252"), ("lv", "cp1257", "cp1252"), ("is", "cp1252", "mac_roman")])
+def test_single_byte_languages(name, right, wrong):
+    raw = SENTENCES[name].encode(right, "ignore")
+    assert mojibake.restore(raw.decode(wrong))[0] == raw.decode(right)
+
+
+def test_control_characters_are_reported():
+    assert mojibake.restore("Strange w\x92rd 漢字 here")[1] in (["unrestored"], ["single byte"])
+
+
 # ---- neighbours
 
 def brute(keys, owners, x, k, least):
