@@ -1,7 +1,7 @@
 """Near-duplicate records with small edits: wildcard signatures over word-shingle vectors, verified, and joined into groups.
 
-A record's shingle set is a sparse bit vector. Vectors are cut into segments, few enough that one segment of two similar records differs by at
-most one bit; segments and their one-wildcard variants are indexed, joined on equality and verified exactly (``segments``). Copies with
+A record's shingle set is a sparse bit vector. Vectors are cut into segments, few enough that one segment of two similar records differs by at most one bit; segments and their one-wildcard variants are
+indexed, screened for partners, joined on equality and verified exactly (``segments``). Copies with
 equal shingle sets are folded first, so a text that occurs a million times costs as much as once.
 """
 
@@ -27,8 +27,9 @@ def shingled(records: DataFrame, key: str, text: list[str], k: int, least: int)
     joined = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in text])
     out = records.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rec"), words(joined).alias("w"))
     out = out.where(F.size("w") >= max(k, least)).select("rec", shingle_hashes(F.col("w"), k).alias("seq"))
-    out = out.withColumn("tokens", F.array_sort(F.array_distinct("seq")))
-    return out.withColumn("content", F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ","), 256))
+    out = out.withColumn("tokens", F.sort_array(F.array_distinct("seq")))
+    # 128 bits of two hashes with different seeds, and the size
+    return out.withColumn("content", F.concat_ws("-", F.hex(F.xxhash64("tokens")), F.hex(F.xxhash64(F.lit(1), "tokens")), F.size("tokens").cast("string")))
 
 
 def near_duplicates(records: DataFrame, key: str, text: list[str], k: int = WORDS, similarity: float = SIMILARITY, least: int = LEAST) -> tuple[DataFrame, DataFrame]:

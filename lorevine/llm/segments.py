@@ -7,6 +7,10 @@ differing place. If every test failed, the sets would differ in at least ``H + 1
 similar pair, and joining on equal signatures loses none. A segment with one place made a wildcard is the segment with that token deleted, so "differs
 in at most one place" means: full = full, full = deletion, or deletion = full.
 
+Most signatures are of one set only. Before any is joined, a sketch tells which can meet another at all (``_screened``): sets lie in chunks, a chunk sends the sorted hashes of its signatures to the
+parts of the hash range, as compressed differences of two to three bytes each, and gets one bit for each back. Only signatures that an index set and a probe set of two different records have are joined
+as rows. A signature that very many sets have is sent once for each chunk, so no part depends on it, and hashes that collide only keep a few rows more.
+
 Which segments get the budget is chosen per probe set by expected cost, from token frequencies counted over all sets in a fixed number of
 buckets (``FREQUENCY_BUCKETS``, so the table sent to the executors has a bounded size). Frequencies steer cost only, never the result.
 """
@@ -15,12 +19,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorevine.runtime import cut
+
 #: Buckets of the token frequency table.
 FREQUENCY_BUCKETS = 1 << 19
 #: Sets up to this size have a length class each; above, classes grow by ``GROWTH``.
@@ -93,7 +100,6 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
                 yield b
 
 
-_OUT = "key long, id long, size int"
 _SCHEMA = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32())])
 
 
@@ -209,17 +215,128 @@ def frequency_table(blocks: DataFrame, buckets: int = FREQUENCY_BUCKETS) -> np.n
     return out
 
 
+#: Tokens that a chunk of sets is meant to hold, and signatures expected of a token; signatures that a part of the hash range is meant to hold.
+CHUNK_TOKENS, PER_TOKEN, PART_SIGNATURES = 400_000, 4, 4_000_000
+
+
+@dataclass(frozen=True)
+class _Plan:
+    """How signatures are made and screened: similarity, broadcast frequencies, number of sets, bits of a screened hash, parts of their range."""
+
+    t: float
+    frequency: object
+    total: int
+    bits: int
+    parts: int
+
+    def signatures(self, chunk: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, ids, sizes and sides (1 index, 2 probe) of all signatures of a chunk."""
+        batches = chunk.select(["id", "tokens"]).combine_chunks().to_batches()
+        out = [(b, side) for side, make in ((1, _index(self.t)), (2, _probe(self.t, self.frequency, self.total))) for b in make(iter(batches))]
+        if not out:
+            return tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int32, np.int8))
+        key, ids, size = (np.concatenate([b.column(k).to_numpy() for b, _ in out]) for k in range(3))
+        return key, ids, size, np.repeat(np.array([side for _, side in out], dtype=np.int8), [b.num_rows for b, _ in out])
+
+    def hashed(self, key: np.ndarray) -> np.ndarray:
+        return key.view(np.uint64) >> np.uint64(64 - self.bits)
+
+    def cuts(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the parts of the hash range begin in sorted ``hashes``."""
+        return np.searchsorted(hashes, np.array([(p << self.bits) // self.parts for p in range(self.parts + 1)], dtype=np.uint64))
+
+
+def _packed(hashes: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte by byte, compressed."""
+    return pa.compress(np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=8 * count, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, count).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _bits(raw: bytes, count: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, dtype=np.uint8), count=count).astype(bool)
+
+
+def _sketched(plan: _Plan):
+    """Of a chunk: its distinct signature hashes by part, and for each whether an index set, a probe set, and more than one record has it."""
+    def run(chunk: pa.Table) -> pa.Table:
+        key, ids, _, side = plan.signatures(chunk)
+        h = plan.hashed(key)
+        order = np.argsort(h, kind="stable")
+        h, ids, side = h[order], ids[order], side[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        hashes = h[first]
+        flags = [np.zeros(0, bool)] * 3
+        if len(first):
+            sides = np.bitwise_or.reduceat(side, first)
+            flags = [sides & 1 > 0, sides & 2 > 0, np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)]
+        at = plan.cuts(hashes)
+        used = [p for p in range(plan.parts) if at[p + 1] > at[p]]
+        pick = lambda f: pa.array([np.packbits(f[at[p]:at[p + 1]]).tobytes() for p in used], pa.binary())
+        name = chunk.column("chunk").slice(0, 1).to_pylist() * len(used)
+        return pa.table({"part": pa.array(used, pa.int32()), "chunk": pa.array(name, pa.int64()), "count": pa.array([int(at[p + 1] - at[p]) for p in used], pa.int32()),
+                         "hashes": pa.array([_packed(hashes[at[p]:at[p + 1]]) for p in used], pa.binary()), "indexed": pick(flags[0]), "probed": pick(flags[1]), "several": pick(flags[2])})
+    return run
+
+
+_SKETCH = "part int, chunk long, count int, hashes binary, indexed binary, probed binary, several binary"
+
+
+def _meeting(part: pa.Table) -> pa.Table:
+    """Of a part of the hash range: for each chunk one bit a hash, whether an index set and a probe set of different records have it."""
+    counts = part.column("count").to_pylist()
+    arrays = [_unpacked(h, n) for h, n in zip(part.column("hashes").to_pylist(), counts, strict=True)]
+    each = {c: np.concatenate([_bits(x, n) for x, n in zip(part.column(c).to_pylist(), counts, strict=True)]) for c in ("indexed", "probed", "several")}
+    h = np.concatenate(arrays)
+    order = np.argsort(h, kind="stable")
+    sorted_h = h[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]]))
+    any_of = {c: np.logical_or.reduceat(v[order], first) for c, v in each.items()}
+    good = any_of["indexed"] & any_of["probed"] & (any_of["several"] | (np.diff(np.append(first, len(h))) > 1))
+    flags = np.empty(len(h), dtype=bool)
+    flags[order] = np.repeat(good, np.diff(np.append(first, len(h))))
+    ends = np.cumsum(counts)
+    return pa.table({"chunk": part.column("chunk"), "part": part.column("part"), "flags": pa.array([np.packbits(flags[e - n:e]).tobytes() for e, n in zip(ends, counts, strict=True)], pa.binary())})
+
+
+def _kept(plan: _Plan):
+    """The signatures of a chunk, made again, that can meet another."""
+    def run(chunk: pa.Table, flags: pa.Table) -> pa.Table:
+        key, ids, size, side = plan.signatures(chunk) if chunk.num_rows else (np.zeros(0, np.int64),) * 4
+        hashes, place = np.unique(plan.hashed(key), return_inverse=True)
+        at = plan.cuts(hashes)
+        good = np.zeros(len(hashes), dtype=bool)
+        for p, raw in zip(flags.column("part").to_pylist(), flags.column("flags").to_pylist(), strict=True):
+            good[at[p]:at[p + 1]] = _bits(raw, int(at[p + 1] - at[p]))
+        keep = good[place]
+        return pa.table({"key": key[keep], "id": ids[keep], "size": size[keep].astype(np.int32), "side": side[keep].astype(np.int8)})
+    return run
+
+
+def _screened(sets: DataFrame, t: float) -> DataFrame:
+    """``(key, id, size, side)``: the signatures of ``sets(id, tokens)`` that can meet one of another record; ``side`` 1 is the index, 2 the probe."""
+    spark = sets.sparkSession
+    total, tokens = sets.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+    frequency = spark.sparkContext.broadcast(frequency_table(frequency_blocks(sets)))
+    expected = max(1, PER_TOKEN * tokens)
+    plan = _Plan(t, frequency, total, min(62, max(32, expected.bit_length() + 8)), max(1, -(-expected // PART_SIGNATURES)))
+    dealt = sets.select("id", "tokens", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-tokens // CHUNK_TOKENS)))).alias("chunk"))
+    sketch = dealt.groupBy("chunk").applyInArrow(_sketched(plan), _SKETCH)
+    flags = sketch.groupBy("part").applyInArrow(_meeting, "chunk long, part int, flags binary")
+    return dealt.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(_kept(plan), "key long, id long, size int, side byte")
+
+
 def candidate_pairs(sets: DataFrame, t: float) -> DataFrame:
     """``(p, i)``: candidate pairs of ``sets(id long, tokens array<long>)``, distinct, the probe ``p`` being the larger set (the larger id among equals).
 
     Contains every pair with Jaccard ``>= t``; tokens of a set must be distinct, ids unique; empty sets have no partners.
     """
-    spark = sets.sparkSession
-    total = sets.count()
-    frequency = spark.sparkContext.broadcast(frequency_table(frequency_blocks(sets)))
-    sets = sets.select("id", "tokens").where(F.size("tokens") > 0)
-    index = sets.mapInArrow(_index(t), _OUT).select("key", F.col("id").alias("i"), F.col("size").alias("i_size"))
-    probe = sets.mapInArrow(_probe(t, frequency, total), _OUT).select("key", F.col("id").alias("p"), F.col("size").alias("p_size"))
+    rows = cut(_screened(sets.select("id", "tokens").where(F.size("tokens") > 0), t), "signatures")
+    index = rows.where("side = 1").select("key", F.col("id").alias("i"), F.col("size").alias("i_size"))
+    probe = rows.where("side = 2").select("key", F.col("id").alias("p"), F.col("size").alias("p_size"))
     fits = (F.col("i_size") >= F.col("p_size") * F.lit(t) - F.lit(1e-9)) & ((F.col("i_size") < F.col("p_size")) | ((F.col("i_size") == F.col("p_size")) & (F.col("i") < F.col("p"))))
     return probe.join(index, "key").where(fits).select("p", "i").distinct()
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lorevine.llm.components import components
 from lorevine.llm.history_dedup import HistoryDedup, winnow
 from lorevine.llm.near_dup import group_pairs, near_duplicates
+from lorevine.llm import segments
 from lorevine.llm.segments import candidate_pairs, segment_count, similar_pairs
 from lorevine.llm.set_join import all_pairs, item_sets, note_items, pairs_between, similar_classes
 
@@ -68,6 +69,24 @@ def test_candidates_are_few(spark):
     assert candidate_pairs(df, 0.6).count() < 1000
 
 
+def test_screen_over_chunks_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(segments, "CHUNK_TOKENS", 60)
+    monkeypatch.setattr(segments, "PART_SIGNATURES", 900)
+    rng = random.Random(8)
+    sets = {i: {rng.randrange(500) for _ in range(rng.randrange(1, 30))} for i in range(60)}
+    sets |= {100 + i: sets[i] ^ {rng.randrange(500)} or {1} for i in range(40)}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, tokens array<long>")
+    assert {(r.a, r.b) for r in similar_pairs(df, 0.6).collect()} == jaccard_pairs(sets, 0.6)
+    assert similar_pairs(df.limit(0), 0.6).count() == 0
+
+
+@given(st.lists(st.integers(0, 2**60), max_size=50, unique=True))
+@settings(max_examples=50, deadline=None)
+def test_packed_hashes(values):
+    h = np.array(sorted(values), dtype=np.uint64)
+    assert (segments._unpacked(segments._packed(h), len(h)) == h).all() if len(h) else True
+
+
 @given(st.integers(1, 4000), st.floats(0.3, 0.99))
 @settings(max_examples=200, deadline=None)
 def test_budget_can_be_spent(top, t):
