@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lorevine.llm.components import components
-from lorevine.llm.history_dedup import HistoryDedup, winnow
+from lorevine.llm import history_dedup
+from lorevine.llm.history_dedup import HistoryDedup, needed, window_of, winnow
 from lorevine.llm.near_dup import group_pairs, near_duplicates
 from lorevine.llm import segments
 from lorevine.llm.segments import candidate_pairs, segment_count, similar_pairs
@@ -129,7 +130,10 @@ def test_long_text(spark):
     assert [(r.rec_a, r.rec_b) for r in group_pairs(near_duplicates(df, "k", ["t"])[0]).collect()] == [(1, 2)]
 
 
-def test_history(spark, tmp_path):
+@pytest.mark.parametrize(("part", "sent"), [(1 << 16, 500_000), (256, 0)])
+def test_history(spark, tmp_path, monkeypatch, part, sent):
+    monkeypatch.setattr(history_dedup, "PART_SIZE", part)
+    monkeypatch.setattr(history_dedup, "SENT", sent)
     rows = corpus(11) + [(500 + i, None, rows_text, 4) for i, rows_text in enumerate([" ".join(f"q{i}" for i in range(30))] * 3 + ["too short", None])]
     df = spark.createDataFrame(rows, "rec_id long, title string, body string, batch_no int").withColumn("fp", F.lit("clash"))
     index = HistoryDedup(spark, f"file://{tmp_path}/h", ["title", "body"], 3, 0.6, 20)
@@ -146,14 +150,64 @@ def test_history(spark, tmp_path):
     assert {(r.first, r.rec) for r in again.repeats().where("rec >= 500").collect()} == {(500, 501), (500, 502)}
 
 
-@given(st.lists(st.integers(-2**62, 2**62), max_size=60, unique=True), st.integers(0, 40))
+@given(st.lists(st.lists(st.integers(-2**62, 2**62), max_size=40), max_size=6), st.integers(2, 9))
 @settings(max_examples=100, deadline=None)
-def test_winnowing_meets_in_shared_runs(values, at):
-    seq = np.array(values, dtype=np.int64)
-    rank = np.abs(seq) % 5
-    part = seq[at:at + 9]
-    if len(part) >= 4:
-        assert set(winnow(seq, rank)) & set(winnow(part, np.abs(part) % 5))
+def test_winnowing_by_brute_force(rows, w):
+    flat = np.array([x for r in rows for x in r], dtype=np.int64)
+    rank = np.abs(flat) % 5
+    key = lambda x: (abs(x) % 5, int(segments._mix(np.array([x], dtype=np.int64).view(np.uint64))[0] >> np.uint64(32)))
+    want = {}
+    for i, r in enumerate(rows):
+        for at in range(max(1, len(r) - w + 1) if r else 0):
+            best = min(r[at:at + w], key=key)
+            want[i, best] = want.get((i, best), 0) + 1
+    row, value, count = winnow(flat, rank, np.array([len(r) for r in rows], dtype=np.int64), w)
+    assert {(int(a), int(b)): int(c) for a, b, c in zip(row, value, count, strict=True)} == want
+
+
+@pytest.mark.parametrize(("t", "k"), [(0.6, 3), (0.8, 5), (0.5, 2), (0.9, 4)])
+def test_similar_texts_share_the_windows_needed(t, k):
+    rng = random.Random(4)
+    w = window_of(t, k)
+    tried = 0
+    for _ in range(400):
+        a = [rng.randrange(10**6) for _ in range(rng.randrange(k + w, 150))]
+        b = edited(list(map(str, a)), rng, rng.randrange(1, 12))
+        x, y = ([hash(tuple(map(str, s[i:i + k]))) // 4 for i in range(len(s) - k + 1)] for s in (a, b))
+        if len(set(x) & set(y)) < t * len(set(x) | set(y)):
+            continue
+        tried += 1
+        values = np.array(x + y, dtype=np.int64)
+        row, value, count = winnow(values, np.abs(values) % 3, np.array([len(x), len(y)]), w)
+        one, two = ({int(v): int(c) for r, v, c in zip(row, value, count, strict=True) if r == i} for i in (0, 1))
+        for mine, other, n in ((one, two, len(x)), (two, one, len(y))):
+            assert sum(c for v, c in mine.items() if v in other) >= needed(np.array([n]), t, k, w)[0]
+    assert tried > 20
+
+
+def test_history_survives_a_failed_first_batch(spark, tmp_path, monkeypatch):
+    rows = corpus(12, 60)
+    df = spark.createDataFrame(rows, "rec_id long, title string, body string, batch_no int")
+    path = f"file://{tmp_path}/h"
+    index = HistoryDedup(spark, path, ["title", "body"], 3, 0.6, 20)
+    real = index.store.publish
+
+    def fails(*args, **kwargs):
+        monkeypatch.setattr(index.store, "publish", real)
+        raise OSError("lost")
+
+    monkeypatch.setattr(index.store, "publish", fails)
+    with pytest.raises(OSError):
+        index.add(df.where("batch_no = 0"), "rec_id", 0)
+    index.add(df.where("batch_no = 0"), "rec_id", 0)
+    again = HistoryDedup(spark, path, ["title", "body"], 3, 0.6, 20)
+    for b in (1, 2, 3):
+        again.add(df.where(F.col("batch_no") == b), "rec_id", b)
+        if b == 2:
+            again.merge()
+    pairs = jaccard_pairs({k: v for k, v in {r[0]: shingles(r[1], r[2]) for r in rows}.items() if v}, 0.6)
+    assert {r.rec for r in again.repeats().collect()} == {b for _, b in pairs}
+    assert all(f.startswith(path) for f in again.store.state()["outputs"]) and len(again.store.state()["outputs"]) == 2
 
 
 def test_components(spark):
