@@ -39,15 +39,18 @@ def percentiles(scores: DataFrame, group: list[str], value: str) -> DataFrame:
     return joined.select(*[local[g] for g in group], local[value], (per["_before"] + local["_upto"] - local["ties"]).alias("below"), local["ties"], per["total"])
 
 
-def inverse_normal(p: Column) -> Column:
-    """Quantiles of the standard normal distribution for ``0 < p < 1``, accurate to about 1e-9 (rational approximation by P. Acklam, published).
+# The published coefficients of P. Acklam's rational approximation to the normal quantile.
+QUANTILE = (
+    [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00],
+    [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01],
+    [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00],
+    [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00],
+)
 
-    Fixed values.
-    """
-    a = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
-    b = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01]
-    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
-    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00]
+
+def inverse_normal(p: Column) -> Column:
+    """Quantiles of the standard normal distribution for ``0 < p < 1``, accurate to about 1e-9."""
+    a, b, c, d = QUANTILE
 
     def poly(x: Column, k: list[float]) -> Column:
         return reduce(lambda acc, y: acc * x + F.lit(y), k[1:], F.lit(k[0]))
@@ -65,16 +68,20 @@ def fused(wide: DataFrame, group: str, item: str, scores: list[str], weights: di
     ``wide`` has one row per group and item and a number (or null, which ranks lowest, level with NaN) for each score. Percentile: rows below plus half of the
     ties, over all rows. Ranking by ``fused`` descending, then item, is total. Other columns pass through.
     """
-    out = wide
-    for s in scores:
-        table = percentiles(wide, [group], s)
-        p = (F.col("below") + F.col("ties") / 2) / F.col("total")
-        z = table.select(F.col(group).alias("_g"), F.col(s).alias("_v"), inverse_normal(p).alias(f"z_{s}"))
-        mine = F.when(F.isnan(out[s]), None).otherwise(out[s])
-        out = out.join(z, out[group].eqNullSafe(z["_g"]) & mine.eqNullSafe(z["_v"]), "left").drop("_g", "_v")
+    rows = cut(wide.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    stacked = rows.select(F.col(group).alias("_g"), "_row", F.explode(F.array(*[F.struct(F.lit(i).alias("_s"), F.col(s).cast("double").alias("_v")) for i, s in enumerate(scores)])).alias("_x"))
+    stacked = stacked.select("_g", "_row", "_x._s", F.when(F.isnan("_x._v"), None).otherwise(F.col("_x._v")).alias("_v"))
+    # all scores are ranked in one pass, each within its own group and name
+    table = percentiles(stacked, ["_g", "_s"], "_v")
+    p = (F.col("below") + F.col("ties") / 2) / F.col("total")
+    z = table.select(F.col("_g").alias("_zg"), F.col("_s").alias("_zs"), F.col("_v").alias("_zv"), inverse_normal(p).alias("_z"))
+    placed = stacked.join(z, (stacked["_s"] == z["_zs"]) & stacked["_g"].eqNullSafe(z["_zg"]) & stacked["_v"].eqNullSafe(z["_zv"]))
+    again = placed.groupBy("_row").agg(*[F.max(F.when(F.col("_s") == i, F.col("_z"))).alias(f"z_{s}") for i, s in enumerate(scores)])
+    out = rows.join(again, "_row").drop("_row")
     weights = weights or {s: 1.0 for s in scores}
     total = sum(weights[s] for s in scores)
-    return out.withColumn("fused", reduce(lambda a, b: a + b, [F.col(f"z_{s}") * F.lit(float(weights[s])) for s in scores]) / F.lit(float(total)))
+    # rounded, so that the order of adding makes no difference between ties
+    return out.withColumn("fused", F.round(reduce(lambda a, b: a + b, [F.col(f"z_{s}") * F.lit(float(weights[s])) for s in scores]) / F.lit(float(total)), 9))
 
 
 def ranked(scored: DataFrame, group: str, item: str) -> DataFrame:
@@ -96,25 +103,30 @@ def _beats(a: Column, b: Column, scores: list[str]) -> Column:
 def leaders(scored: DataFrame, group: str, item: str, scores: list[str]) -> DataFrame:
     """``(group, item)``: the item that stands higher than every other one of its group in more scores than it stands lower, if there is one.
 
-    Candidates come from the fused ranking: folded in its order, neighbours in rank first, each round keeps the winner of every ``FOLD`` items; an item that beats all others wins every round it is
-    in, so it is the one left. It is then compared with all others exactly. A group with one item is led by it.
+    The head of the fused ranking is compared with all others first; most groups end there. In the others the candidate comes from a knock-out in the order of the ranking, neighbours first, each round keeping the
+    winner of every ``FOLD`` items; an item that beats all others wins every round it is in, so it is the one left. It is then compared with all others exactly. A group with one item is led by it.
     """
     row = F.struct(F.col(item).alias("item"), *[F.col(f"z_{s}") for s in scores])
-    order = ranked(scored, group, item).select(F.col(group).alias("g"), F.col("rank").alias("r"), row.alias("x"))
-    order = cut(order, "order")
-    left = order
+    order = cut(ranked(scored, group, item).select(F.col(group).alias("g"), F.col("rank").alias("r"), row.alias("x")), "order")
+    heads = cut(_leading(order, order.where("r = 1").select("g", F.col("x").alias("best")), scores), "heads")
+    left = order.join(heads.where("leads").select(F.col("g").alias("h")), F.col("g").eqNullSafe(F.col("h")), "left_anti")
+    rest = left = cut(left, "rest")
     while True:
         step = left.groupBy("g", F.floor((F.col("r") - 1) / FOLD).alias("f")).agg(F.sort_array(F.collect_list(F.struct("r", "x"))).alias("xs"))
         champion = F.aggregate(F.slice("xs", 2, FOLD), F.get("xs", F.lit(0))["x"], lambda best, y: F.when(_beats(y["x"], best, scores) > 0, y["x"]).otherwise(best))
         left = cut(step.select("g", (F.col("f") + 1).alias("r"), champion.alias("x")), "round")
         if not left.where("r > 1").limit(1).count():
             break
-    best = left.select(F.col("g").alias("bg"), F.col("x").alias("best"))
-    duel = order.join(best, order["g"].eqNullSafe(best["bg"]))
-    other = ~F.col("x")["item"].eqNullSafe(F.col("best")["item"])
-    won = duel.where(other).groupBy("g").agg(F.min(_beats(F.col("best"), F.col("x"), scores)).alias("least"))
-    out = best.join(won, best["bg"].eqNullSafe(won["g"]), "left").where("least IS NULL OR least > 0")
-    return out.select(F.col("bg").alias(group), F.col("best")["item"].alias(item))
+    found = heads.unionByName(_leading(rest, left.select("g", F.col("x").alias("best")), scores))
+    return found.where("leads").select(F.col("g").alias(group), F.col("best")["item"].alias(item))
+
+
+def _leading(order: DataFrame, best: DataFrame, scores: list[str]) -> DataFrame:
+    """``best(g, best)`` with ``leads``: whether the candidate beats all others of its group in ``order(g, x)``."""
+    named = best.withColumnRenamed("g", "bg")
+    duel = order.join(named, order["g"].eqNullSafe(named["bg"]))
+    lost = duel.groupBy("g").agg(F.min(F.when(~F.col("x")["item"].eqNullSafe(F.col("best")["item"]), _beats(F.col("best"), F.col("x"), scores))).alias("least"))
+    return best.join(lost.withColumnRenamed("g", "lg"), F.col("g").eqNullSafe(F.col("lg"))).select("g", "best", F.coalesce(F.col("least") > 0, F.lit(True)).alias("leads"))
 
 
 def search_scores(hits: DataFrame, notes: DataFrame, lists: list[str]) -> DataFrame:

@@ -105,7 +105,32 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(node, other) AS (SELEC
 
 _VECTOR = "len(v) = 96 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0"
 
+
+
+def _poly_sql(x: str, k: list[float]) -> str:
+    out = f"{k[0]}::DOUBLE"
+    for y in k[1:]:
+        out = f"(({out}) * {x} + ({y}::DOUBLE))"
+    return out
+
+
+def _quantile_sql(p: str) -> str:
+    """The quantile of the standard normal distribution in SQL."""
+    a, b, c, d = fuse.QUANTILE
+    low, high, q = f"sqrt(-2.0::DOUBLE * ln({p}))", f"sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {p}))", f"({p} - 0.5::DOUBLE)"
+    middle = f"{_poly_sql(f'({q} * {q})', a)} * {q} / {_poly_sql(f'({q} * {q})', [*b, 1.0])}"
+    return f"CASE WHEN {p} < 0.02425 THEN {_poly_sql(low, c)} / {_poly_sql(low, [*d, 1.0])} WHEN {p} > 1 - 0.02425 THEN -{_poly_sql(high, c)} / {_poly_sql(high, [*d, 1.0])} ELSE {middle} END"
+
+
+_RATED = """
+h AS (SELECT query_id, id, list_name, max(score) FILTER (WHERE isfinite(score)) AS score FROM search_results WHERE query_id IS NOT NULL AND id IS NOT NULL AND list_name IN ('keyword', 'semantic', 'rerank') GROUP BY query_id, id, list_name),
+w AS (SELECT h.query_id, h.id, max(score) FILTER (WHERE list_name = 'keyword') AS k, max(score) FILTER (WHERE list_name = 'semantic') AS s, max(score) FILTER (WHERE list_name = 'rerank') AS r,
+  CAST(coalesce(max(greatest(0, least(10, coalesce(n.importance, 0)))), 0) AS DOUBLE) AS i FROM h LEFT JOIN notes n ON n.id = h.id GROUP BY h.query_id, h.id)"""
+_SHARES = ", ".join(f"((rank() OVER (PARTITION BY query_id ORDER BY {c} NULLS FIRST) - 1) + count(*) OVER (PARTITION BY query_id, {c}) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY query_id) AS p{c}" for c in "ksri")
+
 ORACLES = {
+    "p6_ranking": f"""WITH {_RATED}, sh AS (SELECT query_id, id, {_SHARES} FROM w), fu AS (SELECT query_id, id, round(({' + '.join(f'({_quantile_sql(f"p{c}")})' for c in 'ksri')}) / 4.0::DOUBLE, 9) AS fused FROM sh)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS rank, id, round(fused, 6) AS fused FROM fu""",
     "p1_found": f"WITH RECURSIVE {_LINKS}, f AS (SELECT node, min(other) AS first FROM r GROUP BY node) SELECT f.first AS first_rec_id, f.node AS rec_id FROM f WHERE f.node IN (SELECT b FROM l) AND f.node IN (SELECT rec_id FROM note_details WHERE batch_no >= 1)",
     "p2_found": rf"""
 WITH i AS (SELECT rec_id, 't:' || lower(trim(regexp_replace(trim(t), '^#+', ''))) AS x FROM (SELECT rec_id, unnest(tags) AS t FROM note_details) WHERE t IS NOT NULL
