@@ -1,22 +1,20 @@
 """Evaluation texts leaking into training text, by spaced-seed hashing.
 
-Masks over five words ignore one or no position; every mask turns each window of an item, and of a document, into a hash. Documents and items meet where hashes are equal; as every run of five shared
-words is a hit under every mask, none is missed, and a single substituted word still leaves hits on its other side. Around the hits both measures are taken exactly: the share of
-the item's distinct five-word sequences that occur in the document, and the share of its words that lie in hit windows, where substituted words inside such windows count.
+Words become numbers on the JVM's side. Masks over five words ignore one or no position; under every mask each window of an item, and of a document, has a hash. Hashes of documents that a Bloom filter of the items' hashes
+lets pass are joined with the items' on equality. Every run of five shared words is a hit under every mask, so none is missed, and a single substituted word still leaves hits on its other side. From the
+hits both measures are taken exactly: the share of the item's distinct five-word sequences that occur in the document, and the share of its words that lie in hit windows, where
+substituted words inside such windows count.
 
-The items are the query set. They are taken in blocks of at most ``BLOCK_WORDS`` words (a larger single item is a block of its own), each sent whole to the
-executors; documents are read in a narrow pass for each block, without a shuffle. Nothing grows with the corpus but the scan and the hits.
+The documents are read once, whatever the number of items, and only hits are shuffled. The filter has 16 bits for each item hash and at most ``MOST_BITS``; a larger item table makes it less selective and no result
+different. The items' windows are sent to the executors if they are few (counted first, at most ``SENT`` rows), else joined by shuffling.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from functools import reduce
-from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,147 +22,137 @@ from lorevine.functions.words import words
 from lorevine.llm.segments import _mix
 
 SPAN = 5
-#: Positions of a window that count, one mask per row.
-MASKS = ((0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))
-BLOCK_WORDS = 250_000
-WORD = re.compile(r"[^\W_]+")
+#: Positions of a window that count: all of them, and the masks with a gap.
+EXACT, MASKS = (0, 1, 2, 3, 4), ((0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))
+#: Most bits of the filter, bits of one of its rows, and most item windows that are sent to all executors (40 bytes each).
+MOST_BITS, BLOCK_BITS, SENT = 1 << 29, 1 << 16, 500_000
+#: Words of documents that are worked on at once.
+SLICE = 500_000
 
 
-def _combine(ids: np.ndarray, at: tuple[int, ...]) -> np.ndarray:
-    """Hash of the chosen positions of every window of ``SPAN`` ids, 0 where one of them is an unknown word."""
+def _numbered(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, w)``: 64-bit numbers of the words of each text."""
+    return rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.transform(words(F.col(text)), lambda x: F.xxhash64(x)).alias("w"))
+
+
+def _windows(ids: np.ndarray, at: tuple[int, ...]) -> np.ndarray:
+    """Hash of the chosen positions of every window of ``SPAN`` words."""
     n = len(ids) - SPAN + 1
-    h, known = np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool)
+    h = np.full(n, len(at) * 31 + at[1] * 7 + at[-2], dtype=np.uint64)
     for p in at:
-        part = ids[p:p + n]
-        h = h * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64)
-        known &= part > 0
-    h = _mix(h) | np.uint64(1)
-    h[~known] = 0
-    return h
-
-
-class Items:
-    """One block of items, indexed: vocabulary, distinct five-word windows, and their hashes under each mask."""
-
-    def __init__(self, rows: list[tuple]):
-        self.keys = [k for k, _ in rows]
-        self.vocabulary: dict[str, int] = {}
-        window_item, window_start, all_ids, offsets = [], [], [], [0]
-        for i, (_, text) in enumerate(rows):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in WORD.findall((text or "").lower())]
-            seen = set()
-            for s in range(len(ids) - SPAN + 1):
-                gram = tuple(ids[s:s + SPAN])
-                if gram not in seen:
-                    seen.add(gram)
-                    window_item.append(i)
-                    window_start.append(s)
-            all_ids.extend(ids)
-            offsets.append(len(all_ids))
-        self.item = np.array(window_item, dtype=np.int64)
-        self.start = np.array(window_start, dtype=np.int64)
-        ids = np.array(all_ids + [0] * SPAN, dtype=np.int64)
-        offset = np.array(offsets, dtype=np.int64)
-        self.words = np.diff(offset)
-        self.grams = np.bincount(self.item, minlength=len(rows))
-        place = offset[self.item] + self.start if len(self.item) else np.zeros(0, dtype=np.int64)
-        self.exact = self._lookup(_combine(ids, tuple(range(SPAN)))[place])
-        self.seeds = [self._lookup(_combine(ids, m)[place]) for m in MASKS]
-
-    @staticmethod
-    def _lookup(hashes: np.ndarray):
-        order = np.argsort(hashes, kind="stable")
-        keys, first, count = np.unique(hashes[order], return_index=True, return_counts=True)
-        return keys, first, count, order
-
-    def hits(self, table, hashes: np.ndarray, docs: np.ndarray):
-        """``(doc, window)`` of every equal hash, each once."""
-        keys, first, count, order = table
-        if not len(keys):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        at = np.flatnonzero(hashes)
-        pos = np.searchsorted(keys, hashes[at])
-        pos[pos == len(keys)] = 0
-        ok = keys[pos] == hashes[at]
-        pos, doc = pos[ok], docs[at[ok]]
-        both = np.unique(doc * np.int64(len(keys)) + pos)
-        doc, pos = both // len(keys), both % len(keys)
-        n = count[pos]
-        flat = np.repeat(first[pos], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(doc, n), order[flat]
-
-
-def _search(shared, least: float):
-    def chunk(keys: list, texts: list) -> pd.DataFrame:
-        items = shared.value
-        n_items = len(items.keys)
-        get = items.vocabulary.get
-        parts, lengths = [], []
-        for text in texts:
-            found = WORD.findall(text.lower()) if text else []
-            parts.append(np.fromiter(map(get, found, repeat(0)), dtype=np.int64, count=len(found)))
-            lengths.append(len(found) + SPAN)
-        gap = np.zeros(SPAN, dtype=np.int64)
-        ids = np.concatenate([x for p in parts for x in (p, gap)])
-        docs = np.repeat(np.arange(len(texts)), lengths)
-        windows = docs[:len(ids) - SPAN + 1]
-        # every shared run of five words is hit under every mask: a pair must reach the measure under the first to reach it at all
-        seeds = [items.hits(t, _combine(ids, m), windows) for t, m in zip(items.seeds, MASKS, strict=True)]
-        pairs = None
-        for doc, window in seeds:
-            pair, count = np.unique(doc * n_items + items.item[window], return_counts=True)
-            pair = pair[count >= np.ceil(items.grams[pair % n_items] * least - 1e-9)]
-            pairs = pair if pairs is None else np.union1d(pairs, pair)
-        if not len(pairs):
-            return pd.DataFrame({"doc": [], "item": [], "shared": [], "tolerant": []})
-        doc, window = items.hits(items.exact, _combine(ids, tuple(range(SPAN))), windows)
-        exact, n = np.unique(doc * n_items + items.item[window], return_counts=True)
-        at = np.searchsorted(exact, pairs)
-        at[at == len(exact)] = 0
-        count = np.where(exact[at] == pairs, n[at], 0) if len(exact) else np.zeros(len(pairs))
-        doc = np.concatenate([d for d, _ in seeds])
-        window = np.concatenate([w for _, w in seeds])
-        pair = doc * n_items + items.item[window]
-        keep = np.isin(pair, pairs)
-        # words of the item that lie in a hit window
-        words_at = np.unique((pair[keep][:, None] * np.int64(1 << 22) + items.start[window[keep]][:, None] + np.arange(SPAN)).ravel())
-        owner, covered = np.unique(words_at >> 22, return_counts=True)
-        cover = covered[np.searchsorted(owner, pairs)]
-        item = pairs % n_items
-        return pd.DataFrame({"doc": [keys[i] for i in pairs // n_items], "item": [items.keys[i] for i in item], "shared": count / items.grams[item], "tolerant": cover / items.words[item]})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + ids[p:p + n])
+    return h.view(np.int64)
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows of together about ``SLICE`` words: row numbers, words, and the row of each window that lies in one row (-1 for others)."""
+    lists = batch.column("w")
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        begin = ends[at] - sizes[at]
+        to = max(at + 1, int(np.searchsorted(ends, begin + SLICE, side="right")))
+        ids = values[begin:ends[to - 1]]
+        if len(ids) >= SPAN:
+            owner = np.repeat(np.arange(at, to), sizes[at:to])
+            same = owner[:len(ids) - SPAN + 1] == owner[SPAN - 1:]
+            yield ids, np.where(same, owner[:len(same)], -1), np.arange(len(same)) - (np.concatenate([[0], ends])[owner[:len(same)]] - begin)
+        at = to
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(item, grams, words, start, exact, m0, m1, m2)``: the distinct five-word sequences of each item, at their first place."""
+    np.seterr(over="ignore")
+    for batch in batches:
+        for ids, owner, start in _pieces(batch):
+            exact, seeds = _windows(ids, EXACT), [_windows(ids, m) for m in MASKS]
+            inside = np.flatnonzero(owner >= 0)
+            order = inside[np.lexsort((start[inside], exact[inside], owner[inside]))]
+            if not len(order):
+                continue
+            first = np.concatenate([[True], (owner[order][1:] != owner[order][:-1]) | (exact[order][1:] != exact[order][:-1])])
+            at = order[first]
+            grams = np.bincount(owner[at], minlength=batch.num_rows)
+            size = np.diff(batch.column("w").offsets.to_numpy())
+            rows = pa.array(owner[at])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), pa.array(grams[owner[at]].astype(np.int32)), pa.array(size[owner[at]].astype(np.int32)), pa.array(start[at].astype(np.int32)), *[pa.array(h[at]) for h in (exact, *seeds)]],
+                                             names=["item", "grams", "words", "start", "exact", "m0", "m1", "m2"])
+
+
+def _filter_bits(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate([batch.column(c).to_numpy().view(np.uint64) & np.uint64(size - 1) for c in ("exact", "m0", "m1", "m2")]).astype(np.int64))
+            block = at // BLOCK_BITS
+            used = np.unique(block)
+            bits = []
+            for b in used:
+                field = np.zeros(BLOCK_BITS, dtype=bool)
+                field[at[block == b] % BLOCK_BITS] = True
+                bits.append(np.packbits(field, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(bits, pa.binary())], names=["block", "bits"])
+    return run
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in table.column("bits").to_pylist()]).tobytes()], pa.binary())})
+
+
+def _filter(items: DataFrame, count: int) -> np.ndarray:
+    """The Bloom filter of all hashes of the items' windows; at most ``MOST_BITS`` bits come to the driver."""
+    size = max(BLOCK_BITS, min(MOST_BITS, 1 << (64 * max(1, count)).bit_length()))
+    out = np.zeros(size // 8, dtype=np.uint8)
+    blocks = items.select("exact", "m0", "m1", "m2").mapInArrow(_filter_bits(size), "block int, bits binary").groupBy("block").applyInArrow(_joined, "block int, bits binary")
+    for row in blocks.collect():
+        out[row.block * BLOCK_BITS // 8:(row.block + 1) * BLOCK_BITS // 8] = np.frombuffer(row.bits, dtype=np.uint8)
+    return out
+
+
+def _hits(shared):
+    """``(doc, mask, hash)``: each once for a row, the hashes of its windows that the filter lets pass; mask 3 is the exact one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
+        field = shared.value
+        low = np.uint64(len(field) * 8 - 1)
         for batch in batches:
-            keys, texts = list(batch["key"]), list(batch["_text"])
-            at = 0
-            while at < len(keys):  # of very long texts, few at a time
-                end, size = at, 0
-                while end < len(keys) and (end == at or size + len(texts[end] or "") <= 2_000_000):
-                    size += len(texts[end] or "")
-                    end += 1
-                yield chunk(keys[at:end], texts[at:end])
-                at = end
+            for ids, owner, _ in _pieces(batch):
+                found = []
+                for mask, at in enumerate((*MASKS, EXACT)):
+                    h = _windows(ids, at)
+                    bit = h.view(np.uint64) & low
+                    hit = np.flatnonzero((field[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & (owner >= 0))
+                    both = np.unique(np.rec.fromarrays([owner[hit], h[hit]], names="o,h")) if len(hit) else np.rec.fromarrays([owner[hit], h[hit]], names="o,h")
+                    found.append((both["o"], np.full(len(both), mask, np.int8), both["h"]))
+                o, m, h = (np.concatenate(x) for x in zip(*found, strict=True))
+                if len(o):
+                    yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(o)), pa.array(m), pa.array(h)], names=["doc", "mask", "hash"])
     return run
 
 
 def leaked(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least: float = 0.5) -> DataFrame:
-    """``(doc, item, shared, tolerant)`` for every document and item where seed hits cover ``least`` of the item's windows under some mask.
+    """``(doc, item, shared, tolerant)`` for every document and item where seed hits cover ``least`` of the item's distinct windows under some mask, or exact ones do.
 
     ``shared`` is the exact share of the item's distinct five-word sequences found in the document, ``tolerant`` the share of its words inside hit windows; all pairs with ``shared >= least`` are contained.
-    Null keys and texts, and items of fewer than five words, give no rows; repeated rows give repeated results.
+    Null keys and texts, and items of fewer than five words, give no rows; repeated rows of a document or item count once.
     """
-    spark = documents.sparkSession
-    known = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).alias("k"), F.col(item_text).alias("t"))
-    total = known.agg(F.sum(F.size(words(F.col("t"))))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_WORDS))
+    from lorevine.runtime import cut
+
     kind, item_kind = documents.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    rows = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("_text"))
-    out = []
-    for b in range(blocks):
-        block = known.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).collect()  # at most about BLOCK_WORDS words
-        index = Items([(r.k, r.t) for r in block])
-        if not len(index.item):
-            continue
-        out.append(rows.mapInPandas(_search(spark.sparkContext.broadcast(index), least), f"doc {kind}, item {item_kind}, shared double, tolerant double"))
-    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], f"doc {kind}, item {item_kind}, shared double, tolerant double")
+    known = cut(_numbered(items, item_key, item_text).mapInArrow(_item_windows, f"item {item_kind}, grams int, words int, start int, exact long, m0 long, m1 long, m2 long").distinct(), "items")
+    count = known.count()
+    if not count:
+        return documents.sparkSession.createDataFrame([], f"doc {kind}, item {item_kind}, shared double, tolerant double")
+    field = documents.sparkSession.sparkContext.broadcast(_filter(known, count))
+    hits = _numbered(documents, key, text).mapInArrow(_hits(field), f"doc {kind}, mask byte, hash long")
+    seeds = F.array(*[F.struct(F.lit(i).cast("byte").alias("mask"), F.col(c).alias("hash")) for i, c in enumerate(("m0", "m1", "m2", "exact"))])
+    rows = known.select("item", "grams", "words", "start", F.explode(seeds).alias("x")).select("item", "grams", "words", "start", "x.mask", "x.hash")
+    met = hits.join(F.broadcast(rows) if count * 4 <= SENT else rows, ["mask", "hash"])
+    # one row for each window of the item that is hit in the document, then one for each pair
+    window = met.groupBy("doc", "item", "start").agg(F.first("grams").alias("grams"), F.first("words").alias("words"), *[F.max((F.col("mask") == i).cast("int")).alias(f"h{i}") for i in range(4)])
+    pair = window.groupBy("doc", "item").agg(F.first("grams").alias("grams"), F.first("words").alias("words"), *[F.sum(f"h{i}").alias(f"n{i}") for i in range(4)], F.sort_array(F.collect_list("start")).alias("at"))
+    pair = pair.where(F.greatest("n0", "n1", "n2", "n3") >= F.ceil(F.col("grams") * F.lit(least) - F.lit(1e-9)))
+    # words in hit windows: each window adds what reaches beyond the one before
+    steps = F.aggregate("at", F.struct(F.lit(-SPAN).alias("last"), F.lit(0).alias("n")), lambda acc, x: F.struct(x.alias("last"), (acc["n"] + F.least(F.lit(SPAN), x - acc["last"])).alias("n")), lambda acc: acc["n"])
+    return pair.select("doc", "item", (F.col("n3") / F.col("grams")).alias("shared"), (steps / F.col("words")).alias("tolerant"))

@@ -85,6 +85,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.where("shared >= 0.5").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
+def p9_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold most of an item's words in windows with one word substituted or none, with both shares."""
+    hits = leaks.leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", 0.3)
+    return hits.where("tolerant >= 0.5").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.round("shared", 6).alias("shared"), F.round("tolerant", 6).alias("tolerant"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"))
 
@@ -94,7 +100,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "restored", F.array_join("wrong", ", ").alias("wrong"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p6_found, p6_ranking, p7_found, p7_clean, p8_packed, p9_found, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p6_found, p6_ranking, p7_found, p7_clean, p8_packed, p9_found, p9_tolerant, p10_found, p10_restored)}
 
 _LINKS = r"""
 w AS (SELECT rec_id, batch_no, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '[\p{L}\p{N}]+') AS w FROM note_details),

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 from pathlib import Path
 
 import numpy as np
@@ -154,13 +155,15 @@ def test_token_counts(spark):
 # ---- leaks
 
 def grams(text):
-    w = leaks.WORD.findall((text or "").lower())
+    w = re.findall(r"[^\W_]+", (text or "").lower())
     return set(zip(*[w[i:] for i in range(5)], strict=False))
 
 
-@pytest.mark.parametrize("block", [10**6, 60])
-def test_leaks_by_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(leaks, "BLOCK_WORDS", block)
+@pytest.mark.parametrize(("piece", "sent", "bits"), [(500_000, 500_000, 1 << 29), (40, 0, 1 << 16)])
+def test_leaks_by_brute_force(spark, monkeypatch, piece, sent, bits):
+    monkeypatch.setattr(leaks, "SLICE", piece)
+    monkeypatch.setattr(leaks, "SENT", sent)
+    monkeypatch.setattr(leaks, "MOST_BITS", bits)
     rng = random.Random(9)
     items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(3, 40)))) for i in range(30)] + [(90, None), (91, ""), (None, "a b c d e f")]
     docs = []
@@ -180,7 +183,18 @@ def test_leaks_by_brute_force(spark, monkeypatch, block):
     df = spark.createDataFrame(docs, "key long, t string").withColumn("item", F.lit("clash"))
     hits = leaks.leaked(df, "key", "t", spark.createDataFrame(items, "item_id long, q string"), "item_id", "q", 0.5)
     assert {(r.doc, r.item) for r in hits.where("shared >= 0.5").collect()} == want
-    assert all(0 < r.tolerant <= 1 for r in hits.collect())
+    seeds = ((0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))
+    picked = lambda t, m: {tuple(g[i] for i in m) for g in grams(t)}
+    texts, asked = dict(docs), dict(items)
+    for r in hits.collect():
+        w = re.findall(r"[^\W_]+", asked[r["item"]].lower())
+        places, done = set(), set()
+        for i in range(len(w) - 4):
+            g = tuple(w[i:i + 5])
+            if g not in done and any(tuple(g[j] for j in m) in picked(texts[r.doc], m) for m in seeds):
+                places |= set(range(i, i + 5))
+            done.add(g)
+        assert r.tolerant == pytest.approx(len(places) / len(w))
 
 
 def test_leaks_tolerate_substitutions(spark):
