@@ -7,8 +7,8 @@ best of all parts are kept.
 
 Every vector is indexed and every vector asks; the sample only shapes the partition. Its size is ``SAMPLE_PER_PART`` vectors a part. Up to ``MAX_PARTS`` parts are fitted at once on the
 driver. A larger collection is parted twice: into about the square root of the parts wanted, and each of these, in a task of its own and on its own sample, into leaves; at most
-``MAX_LEAVES`` in all, which bounds the classifiers sent to the executors (about 400 bytes a leaf for 96 numbers). Parts that the sample shows to be larger than the target are cut into blocks of bounded
-size, all of which are compared, so a part may hold a third of all vectors.
+``MAX_LEAVES`` in all, which bounds the classifiers sent to the executors (about 400 bytes a leaf for 96 numbers). Parts that the sample shows to be larger than the target, or to be asked by more, are cut into blocks of bounded
+size on either side, all of which are compared, so a part may hold a third of all vectors and be asked by all.
 """
 
 from __future__ import annotations
@@ -136,10 +136,10 @@ def _top(z: np.ndarray, k: int) -> np.ndarray:
 
 
 class Router:
-    """The fitted classifier, or a first one and one for the leaves of each of its parts; and, for each part or leaf, into how many blocks it is cut."""
+    """The fitted classifier, or a first one and one for the leaves of each of its parts; and, for each part or leaf, into how many blocks those that can be found in it and those that ask it are cut."""
 
-    def __init__(self, weights: np.ndarray, blocks: np.ndarray, leaves: list[np.ndarray] | None = None):
-        self.weights, self.blocks, self.leaves = weights, blocks, leaves
+    def __init__(self, weights: np.ndarray, blocks: np.ndarray, askers: np.ndarray, leaves: list[np.ndarray] | None = None):
+        self.weights, self.blocks, self.askers, self.leaves = weights, blocks, askers, leaves
         if leaves:
             self.first = np.concatenate([[0], np.cumsum([w.shape[1] for w in leaves])])
 
@@ -180,22 +180,27 @@ def _ordered(table) -> np.ndarray:
     return x[np.argsort(table.column("key").to_numpy(), kind="stable")]
 
 
-def fit(vectors: DataFrame, total: int, part_size: int = PART_SIZE) -> Router:
+def fit(vectors: DataFrame, total: int, part_size: int = PART_SIZE, probes: int = PROBES) -> Router:
     """Fit on the vectors with the smallest hashes of their keys; what comes to the driver is bounded (see the module's constants)."""
     wanted = max(1, round(total / part_size))
     parts = int(wanted if wanted <= MAX_PARTS else min(MAX_PARTS, np.ceil(np.sqrt(wanted))))
     sample, _ = _sampled(vectors, parts * SAMPLE_PER_PART, total)
     x = _ordered(sample.limit(2 * parts * SAMPLE_PER_PART).toArrow())
-    router = Router(_fitted(x, parts), np.ones(1, dtype=np.int64))
+    router = Router(_fitted(x, parts), np.ones(1, dtype=np.int64), np.ones(1, dtype=np.int64))
     if wanted > MAX_PARTS:
-        return _with_leaves(router, vectors, total, min(wanted, MAX_LEAVES), part_size)
+        return _with_leaves(router, vectors, total, min(wanted, MAX_LEAVES), part_size, probes)
     count = router.weights.shape[1]
-    expected = np.bincount(router.parts(x, 1)[:, 0], minlength=count) / len(x) * total
-    router.blocks = np.maximum(1, np.ceil(expected / BLOCK)).astype(np.int64)
+    at = router.parts(x, probes)
+    router.blocks, router.askers = _blocks(np.bincount(at[:, 0], minlength=count) / len(x) * total), _blocks(np.bincount(at.ravel(), minlength=count) / len(x) * total)
     return router
 
 
-def _with_leaves(top: Router, vectors: DataFrame, total: int, wanted: int, part_size: int) -> Router:
+def _blocks(expected: np.ndarray) -> np.ndarray:
+    """Blocks that hold ``BLOCK`` vectors each of as many as the sample lets expect."""
+    return np.maximum(1, np.ceil(expected / BLOCK)).astype(np.int64)
+
+
+def _with_leaves(top: Router, vectors: DataFrame, total: int, wanted: int, part_size: int, probes: int) -> Router:
     """A router with a classifier of leaves for each part of ``top``, fitted where the part's sample lies."""
     sample, share = _sampled(vectors, wanted * SAMPLE_PER_PART, total)
     most, size = MAX_PARTS * SAMPLE_PER_PART, max(part_size, total / wanted)
@@ -210,27 +215,29 @@ def _with_leaves(top: Router, vectors: DataFrame, total: int, wanted: int, part_
         here = table.num_rows / share
         x = _ordered(table.slice(0, most))
         w = _fitted(x, int(min(MAX_PARTS, max(1, round(here / size)))))
-        load = np.bincount(_top(_logits(x, w), 1)[:, 0], minlength=w.shape[1]) / len(x) * here
-        return pa.table({"part": table.column("part").slice(0, 1), "weights": [w.astype(np.float32).tobytes()], "load": [load.astype(np.float64).tobytes()]})
+        best = _top(_logits(x, w), probes)
+        # those that ask from other parts are taken to be as many as those of this one
+        load, asks = np.bincount(best[:, 0], minlength=w.shape[1]) / len(x) * here, np.bincount(best.ravel(), minlength=w.shape[1]) / len(x) * 2 * here
+        return pa.table({"part": table.column("part").slice(0, 1), "weights": [w.astype(np.float32).tobytes()], "load": [load.astype(np.float64).tobytes()], "asks": [asks.astype(np.float64).tobytes()]})
 
-    fitted = sample.select("key", "v").mapInArrow(assign, "part long, key long, v array<float>").groupBy("part").applyInArrow(leaves, "part long, weights binary, load binary")
+    fitted = sample.select("key", "v").mapInArrow(assign, "part long, key long, v array<float>").groupBy("part").applyInArrow(leaves, "part long, weights binary, load binary, asks binary")
     dims = top.weights.shape[0]
     models = [np.zeros((dims, 1), np.float32)] * top.weights.shape[1]
-    loads = [np.zeros(1)] * top.weights.shape[1]
+    loads, asks = [np.zeros(1)] * top.weights.shape[1], [np.zeros(1)] * top.weights.shape[1]
     for row in fitted.collect():  # one row for each part, at most MAX_LEAVES classifier columns in all
         models[row.part] = np.frombuffer(row.weights, dtype=np.float32).reshape(dims, -1)
-        loads[row.part] = np.frombuffer(row.load, dtype=np.float64)
-    return Router(top.weights, np.maximum(1, np.ceil(np.concatenate(loads) / BLOCK)).astype(np.int64), models)
+        loads[row.part], asks[row.part] = np.frombuffer(row.load, dtype=np.float64), np.frombuffer(row.asks, dtype=np.float64)
+    return Router(top.weights, _blocks(np.concatenate(loads)), _blocks(np.concatenate(asks)), models)
 
 
 _ROUTED = pa.schema([("part", pa.int64()), ("key", pa.int64()), ("owner", pa.int64()), ("asks", pa.int8()), ("v", pa.binary())])
 
 
 def _route(shared, probes: int):
-    """One row where a vector can be found, in every block row of its part, and one for each block it asks; both in one row where they meet."""
+    """Rows of a grid for each part, blocks of askers by blocks of what can be found: one in each cell where a vector can be found, and one in each where it asks; both in one row where they meet."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         router = shared.value
-        base = np.concatenate([[0], np.cumsum(router.blocks**2)])
+        base = np.concatenate([[0], np.cumsum(router.blocks * router.askers)])
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -238,23 +245,22 @@ def _route(shared, probes: int):
             key, owner = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "owner"))
             at = router.parts(x, probes)
             raw = pa.array([r.tobytes() for r in x], pa.binary())
+            mixed = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
             part, row, asks = [], [], []
             for j in range(at.shape[1]):
-                blocks = np.where(at[:, j] >= 0, router.blocks[at[:, j]], 0)  # no such part, no row
-                mine = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % np.maximum(blocks, 1)
+                blocks, askers = (np.where(at[:, j] >= 0, n[at[:, j]], 0) for n in (router.blocks, router.askers))  # no such part, no row
+                found, asking = mixed % np.maximum(blocks, 1), mixed // 7919 % np.maximum(askers, 1)
                 for b in range(int(blocks.max())):
                     has = np.flatnonzero(blocks > b)
-                    asking = base[at[has, j]] + mine[has] * blocks[has] + b
-                    if j == 0:
-                        found = base[at[has, j]] + b * blocks[has] + mine[has]
-                        same = asking == found
-                        part += [asking, found[~same]]
-                        row += [has, has[~same]]
-                        asks += [np.where(same, 2, 1), np.zeros((~same).sum(), np.int64)]
-                    else:
-                        part.append(asking)
+                    part.append(base[at[has, j]] + asking[has] * blocks[has] + b)
+                    row.append(has)
+                    asks.append(np.where((j == 0) & (found[has] == b), 2, 1))
+                if j == 0:
+                    for a in range(int(askers.max())):
+                        has = np.flatnonzero((askers > a) & (asking != a))
+                        part.append(base[at[has, 0]] + a * blocks[has] + found[has])
                         row.append(has)
-                        asks.append(np.ones(len(has), np.int64))
+                        asks.append(np.zeros(len(has), np.int64))
             part, row, asks = np.concatenate(part), np.concatenate(row), np.concatenate(asks)
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key[row]), pa.array(owner[row]), pa.array(asks.astype(np.int8)), raw.take(pa.array(row))], schema=_ROUTED)
     return run
@@ -290,7 +296,7 @@ def nearest(vectors: DataFrame, k: int, least: float = -1.0, probes: int = PROBE
     total = vectors.count()
     if not total:
         return vectors.sparkSession.createDataFrame([], "key long, near long, similarity double")
-    router = vectors.sparkSession.sparkContext.broadcast(fit(vectors, total, part_size))
+    router = vectors.sparkSession.sparkContext.broadcast(fit(vectors, total, part_size, probes))
     routed = vectors.select("key", "owner", "v").mapInArrow(_route(router, probes), "part long, key long, owner long, asks byte, v binary")
 
     def search(table: pa.Table) -> pa.Table:
