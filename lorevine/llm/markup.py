@@ -3,8 +3,9 @@
 One left-to-right pass takes code and formulas out first, so that nothing inside them is read as markup, then rewrites block structure line by line, then strips
 inline markup. The clean text marks structure in one plain way: ``# `` (one to six) before headings, ``- `` or ``1. `` before list items, code between lines
 of three back-quotes or in single back-quotes, formulas between dollar signs, table cells separated by `` | ``. What is left is weighed by line-block distribution:
-text lengths are summed over windows of lines, and lines are kept from each surge to the following dive, so lines that were only residue
-go. Structural lines always carry full weight.
+text lengths are summed over windows of lines, and lines are kept from each surge to the following dive, so lines that were only residue,
+and the menus and bars of a page go: where a page has long prose, short lines count only by how much text stands around them, and runs of lines that are nothing but hyperlinks count nothing. A page of
+short notes has no long prose and keeps all its lines with letters. Headings, code, formulas, tables and lists of text always carry full weight.
 
 Defined results: null text gives null and no kinds; blank text gives ``""``; texts are processed whole, whatever their length.
 """
@@ -72,6 +73,9 @@ WIKILINK = re.compile(r"\[\[([^\[\]|\n]+)(?:\|([^\[\]\n]*))?\]\]")
 TEMPLATE = re.compile(r"\{\{[^{}]*\}\}")
 QUOTES = re.compile(r"(?<!')('{5}|'{3}|'{2})(?!')(?=\S)(.+?)(?<=\S)\1(?!')")
 _HOLD = "\ue000{}\ue001"
+#: Around the text of a hyperlink until lines are weighed.
+_LINKED = "\ue002{}\ue003"
+ANCHOR = re.compile(r"(<a\b[^<>]*\bhref\b[^<>]*>)(.*?)(</a\s*>)", re.S | re.I)
 _HELD = re.compile("\ue000(\\d+)\ue001")
 
 
@@ -81,7 +85,7 @@ def _entity(text: str) -> bool:
 
 
 def clean(text: str) -> tuple[str, set[str]]:
-    """The clean text before line blocks are weighed, and the kinds of markup found in ``text``."""
+    """The clean text before line blocks are weighed, hyperlinks still marked, and the kinds of markup found in ``text``."""
     kinds: set[str] = set()
     held: list[str] = []
 
@@ -90,8 +94,8 @@ def clean(text: str) -> tuple[str, set[str]]:
         held.append(value)
         return _HOLD.format(len(held) - 1)
 
-    def block(value: str, kind: str) -> str:
-        return "\n" + hold("```\n" + html.unescape(value).strip("\n") + "\n```", kind) + "\n"
+    def block(value: str, kind: str, entities: bool = False) -> str:
+        return "\n" + hold("```\n" + (html.unescape(value) if entities else value).strip("\n") + "\n```", kind) + "\n"
 
     def inline(pattern, kind, s, pick=lambda m: next((g for g in m.groups() if g is not None), "")):
         def put(m):
@@ -99,11 +103,11 @@ def clean(text: str) -> tuple[str, set[str]]:
             return pick(m)
         return pattern.sub(put, s)
 
-    t = text.replace("\ue000", "").replace("\ue001", "").replace("\r\n", "\n").replace("\r", "\n")
+    t = re.sub("[\ue000-\ue003]", "", text).replace("\r\n", "\n").replace("\r", "\n")
     t = FENCE.sub(lambda m: block(m[3], "markdown code"), t)
     t = VERBATIM.sub(lambda m: block(m[2], "latex environment"), t)
     t = MATH_TAG.sub(lambda m: hold(f"${html.unescape(m[1]).strip()}$", "wiki mathematics"), t)
-    t = PRE.sub(lambda m: block(re.sub(r"</?code\b[^<>]*>", "", m[2], flags=re.I), "html tag"), t)
+    t = PRE.sub(lambda m: block(re.sub(r"</?code\b[^<>]*>", "", m[2], flags=re.I), "html tag", m[1].lower() == "pre"), t)
     t = CODE_TAG.sub(lambda m: hold(f"`{html.unescape(TAG.sub('', m[2]))}`", "html tag"), t)
     t = inline(COMMENT, "html comment", t, lambda m: "")
     t = TICKS.sub(lambda m: hold(f"`{m[2].strip()}`", "markdown code"), t)
@@ -111,13 +115,15 @@ def clean(text: str) -> tuple[str, set[str]]:
     t = DISPLAY.sub(lambda m: hold(f"${next(g for g in m.groups() if g is not None).strip()}$", "latex mathematics"), t)
     t = DOLLAR.sub(lambda m: hold(m[0], "latex mathematics") if MATHS.search(m[1]) else m[0], t)
     t = TEXTTT.sub(lambda m: hold(f"`{m[1] if m[1] is not None else m[3]}`", "latex command"), t)
+    t = ANCHOR.sub(lambda m: m[1] + _LINKED.format(m[2]) + m[3], t)
     t = _html(t, kinds)
     t = _latex(t, kinds)
-    t = inline(TEMPLATE, "wiki template", t, lambda m: "")
+    while TEMPLATE.search(t):  # innermost first
+        t = inline(TEMPLATE, "wiki template", t, lambda m: "")
     t = inline(WIKILINK, "wiki link", t, lambda m: m[2] or m[1])
-    t = inline(EXTERNAL, "wiki link", t, lambda m: m[1] or "")
-    t = inline(LINK, "markdown link", t)
-    t = inline(REFERENCE, "markdown link", t)
+    t = inline(EXTERNAL, "wiki link", t, lambda m: _LINKED.format(m[1]) if m[1] else "")
+    t = inline(LINK, "markdown link", t, lambda m: _LINKED.format(m[1]))
+    t = inline(REFERENCE, "markdown link", t, lambda m: _LINKED.format(m[1]))
     t = inline(AUTOLINK, "markdown link", t)
     t = _blocks(t, kinds)
     for pattern, kind in ((QUOTES, "wiki emphasis"), (BOLD, "markdown emphasis"), (ITALIC, "markdown emphasis"), (STRIKE, "markdown strike")):
@@ -165,10 +171,8 @@ def _latex(t: str, kinds: set[str]) -> str:
     t = re.sub(r"\\item(?:\[([^\]]*)\])?[ \t]*", lambda m: "\n- " + (m[1] + " " if m[1] else ""), t)
     t = re.sub(r"\\(?:href|textcolor|hyperlink)\{[^{}]*\}\{([^{}]*)\}", r"\1", t)
     t = re.sub(r"\\(?:label|cite[pt]?|ref|eqref|bibliography|bibliographystyle|usepackage|documentclass|includegraphics|input|include|vspace|hspace)\*?(?:\[[^\]]*\])?\{[^{}]*\}", "", t)
-    for _ in range(4):
-        new = re.sub(r"(?<![\w\\])\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", t)
-        if new == t:
-            break
+    argument = re.compile(r"(?<![\w\\])\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}")
+    while (new := argument.sub(r"\1", t)) != t:  # innermost first; each round shortens the text
         t = new
     t = COMMAND.sub("", t)
     return re.sub(r"\\([%&_#${}])", r"\1", t)
@@ -224,23 +228,62 @@ def _blocks(t: str, kinds: set[str]) -> str:
     return "\n".join(out)
 
 
-#: Lines in a block window, and the summed text length at which a surge begins and below which a dive ends it.
+#: Lines in a block window, and the summed text length at which a surge begins and below which a dive ends it, in a page without long prose.
 BLOCK, SURGE, DIVE = 3, 3, 1
+#: Text length of a block that is long prose; in a page that has it, lengths at which a surge begins and below which a dive ends it.
+PROSE, PROSE_SURGE, PROSE_DIVE = 240, 60, 25
+#: Lines of hyperlinks alone, or of less than ``SHORT`` letters and no sentence, that in a row make a menu or bar.
+MENU, SHORT = 3, 25
+_MARKS = re.compile("[\ue002\ue003]")
+_LINK_TEXT = re.compile("\ue002[^\ue002\ue003]*\ue003")
+_STRUCTURE = re.compile(r"#{1,6} |\s*- |\s*\d+\. |\$")
+_ENDED = re.compile(r"[.!?:;…][\"'”’»)\]]*$")
 
 
-def line_blocks(text: str) -> str:
-    """The lines between surges and dives of the summed text lengths; runs of blank lines become one."""
-    lines, weights, code = text.split("\n"), [], False
+def _runs(hit: list[bool], blank: list[bool]) -> list[bool]:
+    """Which of the lines hit lie in a run of at least ``MENU`` of them, blank lines between not counted."""
+    out, run = [False] * len(hit), []
+    for i in range(len(hit) + 1):
+        if i < len(hit) and hit[i]:
+            run.append(i)
+        elif i == len(hit) or not blank[i]:
+            if len(run) >= MENU:
+                for j in run:
+                    out[j] = True
+            run = []
+    return out
+
+
+def line_blocks(marked: str) -> str:
+    """The lines between surges and dives of the summed text lengths; runs of blank lines become one. Hyperlinks are marked by private characters, which go."""
+    raw = marked.split("\n")
+    lines = [_MARKS.sub("", line) for line in raw]
+    # a run of lines that are nothing but hyperlinks is a menu
+    menu = _runs(["\ue002" in line and not any(c.isalnum() for c in re.sub(r"^\s*(?:- |\d+\. )", "", _LINK_TEXT.sub("", line))) for line in raw], [not line.strip() for line in lines])
+    lengths, structural, code = [], [], False
     for line in lines:
         fence = line.startswith("```")
         code ^= fence
         body = line.strip()
-        structural = fence or code or bool(re.match(r"#{1,6} |\s*- |\s*\d+\. |\$", line)) or " | " in line
-        weights.append(SURGE if structural and body else sum(c.isalnum() for c in body))
+        structural.append(bool(body) and (fence or code or bool(_STRUCTURE.match(line)) or " | " in line))
+        lengths.append(sum(c.isalnum() for c in body))
+    prose = [0 if s or m else n for n, s, m in zip(lengths, structural, menu, strict=True) if n]
+    long = max((sum(prose[i:i + BLOCK]) for i in range(len(prose))), default=0) >= PROSE
+    surge, dive = (PROSE_SURGE, PROSE_DIVE) if long else (SURGE, DIVE)
+    short = [0 < n < SHORT and not st and not _ENDED.search(line.strip()) for n, st, line in zip(lengths, structural, lines, strict=True)]
+    bar = _runs(short, [not line.strip() for line in lines])
+    weights = []
+    for i, line in enumerate(lines):
+        if long and menu[i]:
+            weights.append(0)
+        elif lengths[i] and (structural[i] or long and not bar[i]) or line.startswith("```"):
+            weights.append(max(surge, lengths[i]))  # structure, sentences, and short lines that stand alone
+        else:
+            weights.append(lengths[i])
     ahead = [sum(weights[i:i + BLOCK]) for i in range(len(weights))]
     keep, inside = [], False
     for i, w in enumerate(weights):
-        inside = (ahead[i] >= SURGE and w > 0) or (inside and (w >= DIVE or ahead[i] >= DIVE))
+        inside = (ahead[i] >= surge and w > 0) or (inside and (w >= dive or ahead[i] >= dive) and not (long and menu[i]))
         keep.append(inside)
     # one blank line stands for what was cut between two kept blocks
     kept = "\n".join(line.rstrip() if k else "" for line, k in zip(lines, keep, strict=True))
@@ -264,4 +307,7 @@ def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def cleaned(records: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, clean_text, kinds)`` for every row, repeated ones included; narrow, without a shuffle."""
     kind = records.schema[key].dataType.simpleString()
-    return records.select(F.col(key).alias("key"), F.col(text).alias("_text")).mapInPandas(_run, f"key {kind}, clean_text string, kinds array<string>")
+    rows = records.select(F.col(key).alias("key"), F.col(text).alias("_text"))
+    out = rows.where(F.col("_text").isNotNull() & (F.col("_text") != "")).mapInPandas(_run, f"key {kind}, clean_text string, kinds array<string>")
+    # texts of nothing stay on the JVM's side
+    return out.unionByName(rows.where("_text IS NULL OR _text = ''").select("key", F.col("_text").alias("clean_text"), F.array().cast("array<string>").alias("kinds")))

@@ -97,6 +97,41 @@ def test_line_blocks_drop_residue():
     assert markup.line_blocks("") == ""
 
 
+PROSE_LINES = ["The gateway keeps a budget for each client and lowers it whenever the queue behind it grows faster than it can be drained.", "When the budget is spent, requests wait in a second queue, whose length is shown on the dashboard of the team.",
+               "Operators may raise the budget for a while, but the change is logged and ends after an hour at the latest."]
+
+
+def test_line_blocks_drop_menus():
+    page = "<html><body><ul><li><a href='/'>Home</a></li><li><a href='/docs'>Docs</a></li><li><a href='/blog'>Blog</a></li><li><a href='/about'>About us</a></li><li><a href='/in'>Log in</a></li></ul>\n<h1>Budgets</h1>\n<p>" + "</p>\n<p>".join(PROSE_LINES)
+    page += "</p>\n<ul><li>first case</li><li>second case</li></ul>\n<p>Thanks!</p>\n<div>Share</div>\n<div>Tweet</div>\n<div>Print</div>\n</body></html>"
+    text = markup.line_blocks(markup.clean(page)[0])
+    for gone in ("Home", "Docs", "About us", "Log in", "Share", "Tweet", "Print"):
+        assert gone not in text
+    for kept in ("# Budgets", *PROSE_LINES, "- first case", "- second case", "Thanks!"):
+        assert kept in text
+
+
+@pytest.mark.parametrize("note", ["call Anna\nbuy milk\nfix roof", "# Today\n- [[inbox]]\n- [[plans|next]]\n- [[people/anna]]", "See [one](a.md)\nand [two](b.md)", "## Related\n\n- [[a]]\n- [[b]]\n- [[c]]\n\n" + "\n".join(PROSE_LINES), PROSE_LINES[0] + "\nok\n" + PROSE_LINES[1] + PROSE_LINES[2]])
+def test_line_blocks_keep_notes(note):
+    kept = markup.line_blocks(markup.clean(note)[0])
+    for word in re.findall(r"[A-Za-z]{2,}", re.sub(r"\([^)]*\)|\[\[[^|\]]*\|", "", note)):
+        assert word in kept
+
+
+def test_code_is_untouched():
+    code = "if a &lt; b &amp;&amp; c:\n    x = '&copy;'  # [[link]] **b** {{t}}"
+    for fence in ("```\n{}\n```", "~~~py\n{}\n~~~", "\\begin{{verbatim}}\n{}\n\\end{{verbatim}}"):
+        assert code in markup.line_blocks(markup.clean("Text before.\n" + fence.format(code) + "\nText after.")[0])
+
+
+def test_nesting_has_no_bound():
+    assert markup.clean("a {{box|{{inner|{{deep|x}}}}| y}} b")[0] == "a  b"
+    deep = "word"
+    for _ in range(9):
+        deep = "\\emph{" + deep + "}"
+    assert markup.clean(f"one {deep} two")[0] == "one word two"
+
+
 def test_markup_table(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "**b** " * 20_000), (3, "x")], "key long, kinds string").withColumn("clean_text", F.lit(1))
     got = [(r.key, r.clean_text if r.clean_text is None or len(r.clean_text) < 9 else len(r.clean_text), r.kinds) for r in markup.cleaned(df, "key", "kinds").collect()]
