@@ -4,8 +4,8 @@
 sequence present when it starts), reads the records with ``watermark < sequence <= upper``, writes its output beside the earlier ones, and
 then publishes output and watermark together by renaming one manifest file into place. A run that dies before the rename leaves
 only an unreferenced folder: the next run reads the same records again, and nothing is lost or counted twice. A run that dies after
-the rename has been committed. Only the driver touches the manifest; two runs at once on one store are refused, as the rename never
-replaces an existing version.
+the rename has been committed. Only the driver touches the manifest. A store has one writer at a time: a second one is found out by the watermark it read, and where renaming
+refuses an existing target (HDFS) also in the moment of committing; on other file systems writers must take turns.
 
 Records that arrive late carry a higher sequence than the watermark, however old their own timestamps are, so they are picked up.
 
@@ -70,10 +70,10 @@ class IncrementStore:
     def watermark(self) -> int | None:
         return self.state()["watermark"]
 
-    def window(self, log: DataFrame, sequence: str) -> Window:
-        """From the committed watermark to the highest sequence that the log holds now."""
+    def window(self, log: DataFrame, sequence: str, upto: int | None = None) -> Window:
+        """From the committed watermark to the highest sequence that the log holds now, or the highest up to ``upto``."""
         low = self.watermark()
-        high = log.agg(F.max(sequence)).first()[0]
+        high = (log if upto is None else log.where(F.col(sequence) <= F.lit(upto))).agg(F.max(sequence)).first()[0]
         return Window(low, high if high is not None and (low is None or high > low) else None)
 
     def commit(self, output: DataFrame, window: Window, replace: bool = False) -> str | None:
@@ -110,9 +110,9 @@ class IncrementStore:
         window = self.window(log, sequence)
         return None if window.high is None else self.commit(step(window.rows(log, sequence)), window)
 
-    def fold(self, log: DataFrame, sequence: str, step: Callable[[DataFrame, DataFrame], DataFrame], schema) -> DataFrame:
+    def fold(self, log: DataFrame, sequence: str, step: Callable[[DataFrame, DataFrame], DataFrame], schema, upto: int | None = None) -> DataFrame:
         """One whole run of ``step`` over the committed state and the new rows, which gives the state that replaces it; the state then committed."""
-        window = self.window(log, sequence)
+        window = self.window(log, sequence, upto)
         if window.high is not None:
             self.commit(step(self.outputs(schema), window.rows(log, sequence)), window, replace=True)
         return self.outputs(schema)
@@ -153,12 +153,12 @@ def pending_ids(changes: DataFrame, entries: DataFrame, runs: DataFrame) -> Data
     return _judged(latest_changes(changes), entries, runs)
 
 
-def next_pending(store: IncrementStore, changes: DataFrame, entries: DataFrame, runs: DataFrame) -> DataFrame:
+def next_pending(store: IncrementStore, changes: DataFrame, entries: DataFrame, runs: DataFrame, upto: int | None = None) -> DataFrame:
     """The same ids from the new rows of ``changes`` and the latest change per id that earlier runs have committed; commits the latter anew.
 
     The whole state is judged, also when no row is new: entries and runs change without the log.
     """
-    last = store.fold(changes, "change_id", lambda old, new: latest_changes(old.unionByName(new.select(old.columns))), LATEST)
+    last = store.fold(changes, "change_id", lambda old, new: latest_changes(old.unionByName(new.select(old.columns))), LATEST, upto)
     return _judged(last, entries, runs)
 
 

@@ -25,19 +25,26 @@ def sessions(changes: DataFrame, gap: str = "500 milliseconds", late: str = "1 h
 
 
 def apply_batch(snapshot: Snapshot, batch: DataFrame) -> None:
-    """Fold one micro-batch into the snapshot of ``(id, modified_ms, content)``: the last change of an id holds, unless the snapshot is newer.
+    """Fold one micro-batch into the snapshot of ``(id, deleted, modified_ms, content)``: the last change of an id holds, unless the snapshot's is newer.
 
-    Applying a batch again changes nothing, so a restarted stream repeats none.
+    A deleted note stays as a row without content, so that a change that comes late does not bring it back; ``live`` gives the others. Applying a batch again changes nothing, so a restarted stream repeats none.
     """
     key = F.struct("modified_ms", "change_id")
-    last = batch.where(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(F.upper("op"), key).alias("op"), F.max("modified_ms").alias("modified_ms"), F.max_by("content", key).alias("content"))
+    last = batch.where(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(F.upper(F.trim("op")), key).alias("op"), F.max("modified_ms").alias("modified_ms"), F.max_by("content", key).alias("content"))
+    gone = F.coalesce(F.col("op") == "DELETE", F.lit(False))
+    last = last.select("id", gone.alias("deleted"), "modified_ms", F.when(~gone, F.col("content")).alias("content"))
     old = snapshot.read()
     if old is None:
-        snapshot.publish(last.where("op <> 'DELETE'").select("id", "modified_ms", "content"))
+        snapshot.publish(last)
         return
-    newer = last.join(old.select("id", F.col("modified_ms").alias("old_ms")), "id", "left").where("old_ms IS NULL OR modified_ms >= old_ms")
-    changed = newer.where("op <> 'DELETE'").select("id", "modified_ms", "content")
-    snapshot.publish(merge(old, changed, newer.where("op = 'DELETE'").select("id")))
+    newer = last.join(old.select("id", F.col("modified_ms").alias("old_ms")), "id", "left").where("old_ms IS NULL OR modified_ms >= old_ms").drop("old_ms")
+    snapshot.publish(merge(old, newer, newer.select("id").limit(0)))
+
+
+def live(snapshot: Snapshot) -> DataFrame | None:
+    """``(id, modified_ms, content)`` of the notes that are not deleted."""
+    state = snapshot.read()
+    return None if state is None else state.where("NOT deleted").drop("deleted")
 
 
 def watch(changes: DataFrame, snapshot: Snapshot, checkpoint: str, notify: Callable[[int], None] | None = None, once: bool = False) -> StreamingQuery:

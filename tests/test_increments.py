@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lorevine.operators.increments import IncrementStore, next_pending, pending_ids
 from lorevine.operators.mutate import debounced
 from lorevine.sources.notes import Snapshot
-from lorevine.streaming.watch import CHANGES, read_changes, sessions, watch
+from lorevine.streaming.watch import CHANGES, live, read_changes, sessions, watch
 from tests.compare import DATA
 
 LOG = "change_id long, id string, op string, modified_ms long"
@@ -94,12 +94,13 @@ def test_stream(spark, tmp_path):
     rows = [(1, "a", "CREATE", 1, "x"), (2, "b", "create", 1, "y"), (3, "a", "MODIFY", 2, "z")]
     frame = lambda r: spark.createDataFrame(r, "change_id long, id string, op string, modified_ms long, content string").withColumn("arrived_at", F.timestamp_millis(F.col("modified_ms"))).coalesce(1)
     frame(rows).write.parquet(folder)
-    for more in ([], [(4, "b", "DELETE", 5, None), (5, "a", "MODIFY", 1, "late")]):
+    for more in ([], [(4, "b", "DELETE", 5, None), (5, "a", "MODIFY", 1, "late")], [(6, "b", " modify ", 3, "too late"), (7, "c", " delete", 9, None)]):
         if more:
             frame(more).write.mode("append").parquet(folder)
         q = watch(read_changes(spark, folder), snapshot, f"{tmp_path}/cp", told.append, once=True)
         q.awaitTermination(60)
-    assert [(r.id, r.content) for r in snapshot.read().collect()] == [("a", "z")]
-    assert told == [1, 2]
+    assert [(r.id, r.content) for r in live(snapshot).collect()] == [("a", "z")]
+    assert {(r.id, r.deleted, r.modified_ms) for r in snapshot.read().collect()} == {("a", False, 2), ("b", True, 5), ("c", True, 9)}
+    assert told == [1, 2, 3]
     s = sessions(spark.readStream.schema(CHANGES).parquet(folder))
     assert s.isStreaming and "session_window" in s.columns
