@@ -158,7 +158,7 @@ def _probe(t: float, frequency, total: int):
                 least = np.zeros(n)
                 np.minimum.at(least, segment, logs)
                 cost = total * np.exp(half + least / 2)
-                order = np.argsort(_ordered(segment) + (np.uint64(0xFFFFFFFF) - _ordered(-logs, 0)))
+                order = np.argsort(_ordered(segment) + (np.uint64(0xFFFFFFFF) - _ordered(np.abs(logs), 0)))
                 first = np.concatenate([[True], segment[order][1:] != segment[order][:-1]])
                 second = np.zeros(n)  # rarest but one, for the deletion of the rarest
                 pos = np.flatnonzero(first) + 1
@@ -175,7 +175,7 @@ def _probe(t: float, frequency, total: int):
                 price = np.concatenate([cost, np.maximum(more, cost)])
                 unit = np.concatenate([np.arange(n), np.arange(n)])
                 stage = np.repeat(np.array([0, 1], dtype=np.uint64), n)
-                sort = np.argsort(_ordered(owner[unit], 33) + _ordered(price, 1) + stage)
+                sort = np.argsort(_ordered(owner[unit], 33) + _ordered(price, 1) + stage, kind="stable")
                 base = np.concatenate([[0], np.cumsum(2 * counts)])[:-1]
                 rank = np.arange(2 * n) - base[owner[unit[sort]]]
                 chosen = sort[rank <= high[owner[unit[sort]]]]
@@ -238,7 +238,7 @@ class _Plan:
 
     def signatures(self, chunk: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Keys, ids, sizes and sides (1 index, 2 probe) of all signatures of a chunk."""
-        batches = chunk.select(["id", "tokens"]).combine_chunks().to_batches()
+        batches = chunk.select(["id", "tokens"]).sort_by("id").combine_chunks().to_batches()  # in one order, so that the same are made each time
         out = [(b, side) for side, make in ((1, _index(self.t)), (2, _probe(self.t, self.frequency, self.total))) for b in make(iter(batches))]
         if not out:
             return tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int32, np.int8))

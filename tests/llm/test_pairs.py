@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -81,6 +82,22 @@ def test_screen_over_chunks_and_parts(spark, monkeypatch):
     assert similar_pairs(df.limit(0), 0.6).count() == 0
 
 
+def test_signatures_do_not_depend_on_the_order_of_rows():
+    rng = random.Random(5)
+    sets = [(i, sorted({rng.randrange(300) for _ in range(rng.randrange(5, 90))})) for i in range(2500)]
+
+    class Flat:
+        value = np.ones(segments.FREQUENCY_BUCKETS, dtype=np.float32)
+
+    plan = segments._Plan(0.6, Flat, 2500, 40, 3)
+    made = []
+    for _ in range(2):
+        rng.shuffle(sets)
+        out = plan.signatures(pa.table({"id": [i for i, _ in sets], "tokens": pa.array([s for _, s in sets], pa.list_(pa.int64()))}))
+        made.append(sorted(zip(*(x.tolist() for x in out), strict=True)))
+    assert made[0] == made[1]
+
+
 @given(st.lists(st.integers(0, 2**60), max_size=50, unique=True))
 @settings(max_examples=50, deadline=None)
 def test_packed_hashes(values):
