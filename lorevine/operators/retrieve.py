@@ -1,11 +1,12 @@
 """Keyword, vector and hybrid retrieval over notes and chunks.
 
-The keyword index is three tables (postings, field lengths, field statistics), built once with map-side counts and read by a join on the
-query's few terms. Vector search is exact: similarities are computed where the vectors lie and only each task's best ``k`` leave it.
+The keyword index is three tables (postings with positions, term frequencies, field statistics), built once with map-side counts, stored in order of field and term, and read by a join on the
+query's few terms. A query string is parsed to a tree of clauses, whose words and phrases are looked up side by side and joined by boolean columns. Vector search is exact: similarities are computed where the vectors lie and only each task's best ``k`` leave it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
 from functools import reduce
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lorevine.functions.ids import folder_of
 from lorevine.functions.markdown import text
+from lorevine.functions.words import words
 
 #: Boosts of the indexed fields.
 FIELDS = {"title": 3.0, "headings": 2.0, "tags": 2.0, "folder": 2.0, "content": 1.0}
@@ -24,13 +26,13 @@ WEEK_MS = 604_800_000
 
 
 def terms(c: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(text(c)), F.lit("([a-z0-9]+)"), F.lit(1))
+    """Lower-cased runs of letters and digits of any writing."""
+    return words(c)
 
 
 @dataclass
 class Index:
-    """``postings(field, term, id, tf, dl)``, ``stats(field, docs, avgdl)``, ``frequency(field, term, df)``."""
+    """``postings(field, term, id, tf, dl, positions)``, ``stats(field, docs, avgdl)``, ``frequency(field, term, df)``."""
 
     postings: DataFrame
     stats: DataFrame
@@ -48,7 +50,7 @@ def build_index(notes: DataFrame) -> Index:
     """The keyword index of ``notes(id, title, content, tags, headings)``."""
     tokens = field_texts(notes).select("id", "field", terms(F.col("value")).alias("t")).where(F.size("t") > 0)
     lengths = tokens.select("id", "field", F.size("t").alias("dl"))
-    postings = tokens.select("id", "field", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("field", "term", "id", "dl").agg(F.count("*").alias("tf"))
+    postings = tokens.select("id", "field", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term")).groupBy("field", "term", "id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     stats = lengths.groupBy("field").agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
     frequency = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
     return Index(postings, stats, frequency)
@@ -63,14 +65,32 @@ def write_index(index: Index, path: str) -> None:
 
 def read_index(spark, path: str) -> Index:
     """A stored index."""
-    order = {"postings": ["field", "term", "id", "dl", "tf"], "frequency": ["field", "term", "df"], "stats": ["field", "docs", "avgdl"]}
+    order = {"postings": ["field", "term", "id", "dl", "tf", "positions"], "frequency": ["field", "term", "df"], "stats": ["field", "docs", "avgdl"]}
     return Index(**{name: spark.read.parquet(f"{path}/{name}").select(*columns) for name, columns in order.items()})
 
 
-def upsert_index(old: Index, changed: DataFrame, removed: DataFrame) -> DataFrame:
-    """Postings after notes were changed or removed: the old ones of those ids give way to the new."""
+def stored_index(notes: DataFrame, root: str) -> Index:
+    """The stored index of a table of notes read from files: built and written below ``root`` when the files are new or have changed, else read."""
+    spark = notes.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    state = []
+    for name in sorted(notes.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        found = path.getFileSystem(conf).getFileStatus(path)
+        state.append(f"{name} {found.getLen()} {found.getModificationTime()}")
+    folder = f"{root}/index-{hashlib.sha256(chr(10).join(state).encode()).hexdigest()[:24]}"
+    done = jvm.org.apache.hadoop.fs.Path(f"{folder}/stats/_SUCCESS")  # statistics are written last
+    if not done.getFileSystem(conf).exists(done):
+        write_index(build_index(notes), folder)
+    return read_index(spark, folder)
+
+
+def upsert_index(old: Index, changed: DataFrame, removed: DataFrame) -> Index:
+    """The index after notes were changed or removed: the old postings of those ids give way to the new, and frequencies and field statistics follow."""
     gone = changed.select("id").unionByName(removed.select("id")).distinct()
-    return old.postings.join(gone, "id", "left_anti").unionByName(build_index(changed).postings.select(old.postings.columns))
+    postings = old.postings.join(gone, "id", "left_anti").unionByName(build_index(changed).postings.select(old.postings.columns))
+    stats = postings.select("field", "id", "dl").distinct().groupBy("field").agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
+    return Index(postings, stats, postings.groupBy("field", "term").agg(F.count("*").alias("df")))
 
 
 def bm25(tf: Column, dl: Column, df: Column, docs: Column, avgdl: Column) -> Column:
@@ -79,89 +99,162 @@ def bm25(tf: Column, dl: Column, df: Column, docs: Column, avgdl: Column) -> Col
 
 
 @dataclass
-class Query:
-    """Clauses of a query string: terms that must all match, alternatives, exclusions, each a term with field, prefix and fuzziness."""
+class Leaf:
+    """What a word of a query asks of a term: equality, a prefix, an edit distance, a range or a pattern; or a phrase of several words."""
 
-    must: list[dict] = field(default_factory=list)
-    should: list[dict] = field(default_factory=list)
-    must_not: list[dict] = field(default_factory=list)
+    words: list[str]
+    field: str | None = None
+    boost: float = 1.0
+    kind: str = "term"
+    fuzzy: int = 0
+    upper: str = ""
 
+    def matches(self) -> Column:
+        t = F.col("term")
+        hit = {"prefix": lambda: F.startswith(t, F.lit(self.words[0])), "fuzzy": lambda: F.levenshtein(t, F.lit(self.words[0])) <= self.fuzzy, "range": lambda: t.between(self.words[0], self.upper) if self.upper else t >= self.words[0],
+               "pattern": lambda: t.rlike(f"^(?:{self.words[0]})$")}.get(self.kind, lambda: t.isin(*self.words))()
+        return hit & (F.col("field") == self.field) if self.field else hit
 
-_CLAUSE = re.compile(r'([+-]?)(?:(\w+):)?(?:"([^"]*)"|([^\s()"]+))')
 
+@dataclass
+class Group:
+    """Clauses ``(occur, node)`` with ``occur`` one of ``must``, ``should``, ``must_not``."""
+
+    clauses: list[tuple[str, Leaf | Group]] = field(default_factory=list)
+
+    def leaves(self) -> list[Leaf]:
+        return [x for _, node in self.clauses for x in (node.leaves() if isinstance(node, Group) else [node])]
+
+
+_TOKEN = re.compile(r'\s*(?:([-+!]|NOT\b)|(AND\b|&&|OR\b|\|\|)|(?:(\w+):)?(?:"([^"]*)"|/((?:[^/\\]|\\.)+)/|\[([^\s\]]+) TO ([^\s\]]+)\]|(\()|([^\s()"\[\]{}^~*?:!]+[^\s()"\[\]{}:]*|\*))|(\)))(~\d*)?(\^\d+(?:\.\d+)?)?')
+_TERM = re.compile(r"[^\W_]+")
 
-def parse_query(query: str) -> Query:
-    """Bare terms are required; ``a OR b`` alternatives; ``-x`` and ``NOT x`` exclusions; ``field:x``, ``x*``, ``x~n``, ``x^b``, ``"a b"``.
 
-    A query that is no valid syntax (unbalanced quotes or brackets) is read as plain words.
+def parse_query(query: str) -> Group:
+    """Bare words are required; ``a OR b`` makes both optional; ``-x``, ``!x`` and ``NOT x`` exclude; ``+x`` and ``AND`` require; brackets group; ``field:x``, ``x*``, ``x~n``, ``x^b``, ``"a b"``, ``[a TO b]``, ``/pattern/``.
+
+    A query that is no valid syntax (unbalanced quotes or brackets, or a sign without its word) is read as plain words.
     """
-    if query.count('"') % 2 or query.count("(") != query.count(")"):
-        query = re.sub(r"[^\w\s]", " ", query)
-    out, negate, pending = Query(), False, None
-    tokens = list(_CLAUSE.finditer(query.replace("&&", " AND ").replace("||", " OR ")))
-    clauses: list[tuple[str, dict]] = []
-    for m in tokens:
-        sign, name, phrase, word = m.groups()
-        if word in ("AND", "OR", "NOT") and not name and not sign:
-            negate = negate or word == "NOT"
-            pending = word if word != "NOT" else pending
-            if word == "OR" and clauses and clauses[-1][0] == "must":
-                clauses[-1] = ("should", clauses[-1][1])
+    try:
+        node, at = _clauses(query, 0, None, 0)
+        if at < len(query.rstrip()):
+            raise ValueError(query)
+        return node
+    except ValueError:
+        return Group([("must", Leaf([w])) for w in _TERM.findall(query.lower())])
+
+
+def _clauses(query: str, at: int, name: str | None, depth: int) -> tuple[Group, int]:
+    out, sign, joined = Group(), "", ""
+    while True:
+        if not query[at:].strip():
+            if depth:
+                raise ValueError(query)
+            at = len(query)
+            break
+        m = _TOKEN.match(query, at)
+        if not m or m.end() == at:
+            raise ValueError(query)
+        at = m.end()
+        mark, joint, own, phrase, pattern, low, high, opening, word, closing, near, boost = m.groups()
+        if closing:
+            if not depth:
+                raise ValueError(query)
+            break
+        if mark:
+            sign = mark
             continue
-        raw = phrase if phrase is not None else word
-        clause: dict = {"field": name if name in FIELDS else None, "boost": 1.0, "fuzzy": 0, "prefix": False}
-        if phrase is None:
-            if b := re.search(r"\^(\d+(?:\.\d+)?)$", raw):
-                clause["boost"], raw = float(b[1]), raw[:b.start()]
-            if f := re.search(r"~(\d?)$", raw):
-                clause["fuzzy"], raw = int(f[1] or 2), raw[:f.start()]
-            if raw.endswith("*"):
-                clause["prefix"], raw = True, raw[:-1]
-        words = re.findall(r"[a-z0-9]+", raw.lower())
-        for w in words:
-            kind = "must_not" if sign == "-" or negate else "should" if pending == "OR" else "must"
-            clauses.append((kind, {**clause, "term": w, "phrase": words if phrase is not None and len(words) > 1 else None}))
-        negate, pending = False, None
-    for kind, clause in clauses:
-        getattr(out, kind).append(clause)
-    return out
-
-
-def _matches(clause: dict) -> Column:
-    t = F.col("term")
-    hit = F.startswith(t, F.lit(clause["term"])) if clause["prefix"] else F.levenshtein(t, F.lit(clause["term"])) <= clause["fuzzy"] if clause["fuzzy"] else t == clause["term"]
-    return hit & (F.col("field") == clause["field"]) if clause["field"] else hit
-
-
-def keyword_scores(index: Index, query: str, contents: DataFrame | None = None) -> DataFrame:
-    """``(id, score)`` of all notes that match; the fields' BM25 scores times their boosts, summed over terms.
-
-    ``contents(id, title, content)`` is needed for phrases. A blank query matches nothing.
-    """
-    q = parse_query(query)
-    wanted = [("m", i, c) for i, c in enumerate(q.must)] + [("s", i, c) for i, c in enumerate(q.should)]
-    spark = index.postings.sparkSession
-    if not wanted:
-        return spark.createDataFrame([], "id string, score double")
+        if joint:
+            if not out.clauses or joined:
+                raise ValueError(query)
+            joined = "OR" if joint in ("OR", "||") else "AND"
+            continue
+        named = own if own in FIELDS else name
+        if own and own not in FIELDS and word is not None:
+            word = f"{own} {word}"
+        factor = float(boost[1:]) if boost else 1.0
+        if opening:
+            node, at = _clauses(query, at, named, depth + 1)
+            if after := re.match(r"\^(\d+(?:\.\d+)?)", query[at:]):
+                at += after.end()
+                for leaf in node.leaves():
+                    leaf.boost *= float(after[1])
+        elif pattern is not None:
+            node = Leaf([pattern], named, factor, "pattern")
+        elif low is not None:
+            node = Leaf(["" if low == "*" else low.lower()], named, factor, "range", upper="" if high == "*" else high.lower())
+        elif phrase is not None:
+            found = _TERM.findall(phrase.lower())
+            node = Leaf(found, named, factor, "phrase" if len(found) > 1 else "term") if found else None
+        else:
+            kind, fuzzy = "term", 0
+            if t := re.search(r"\^(\d+(?:\.\d+)?)$", word):
+                factor, word = float(t[1]), word[:t.start()]
+            if t := re.search(r"~(\d?)$", word):
+                kind, fuzzy, word = "fuzzy", int(t[1] or 2), word[:t.start()]
+            elif near:
+                kind, fuzzy = "fuzzy", int(near[1:] or 2)
+            elif word.endswith("*"):
+                kind, word = "prefix", word[:-1]
+            found = _TERM.findall(word.lower())
+            one = [Leaf([w], named, factor, kind if i == len(found) - 1 else "term", fuzzy) for i, w in enumerate(found)]
+            node = None if not one else one[0] if len(one) == 1 else Group([("must", x) for x in one])
+        occur = "must_not" if sign in ("-", "!", "NOT") else "should" if joined == "OR" and sign != "+" else "must"
+        if joined == "OR" and out.clauses[-1][0] == "must":
+            out.clauses[-1] = ("should", out.clauses[-1][1])
+        if joined == "AND" and out.clauses[-1][0] == "should":
+            out.clauses[-1] = ("must", out.clauses[-1][1])
+        if node is not None and (isinstance(node, Leaf) or node.clauses):
+            out.clauses.append((occur, node))
+        sign, joined = "", ""
+    if sign or joined:
+        raise ValueError(query)
+    return out, at
+
+
+def _term_hits(index: Index, leaf: Leaf, number: int) -> DataFrame:
+    """``(id, leaf, score)`` of one leaf."""
     boosts = F.create_map(*[x for f, b in FIELDS.items() for x in (F.lit(f), F.lit(b))])
-    any_ = reduce(lambda a, b: a | b, [_matches(c) for _, _, c in wanted])
-    hits = index.postings.where(any_).join(index.frequency.where(any_), ["field", "term"]).join(index.stats, "field")
-    score = bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("docs"), F.col("avgdl")) * boosts[F.col("field")]
-    flags = [F.max(_matches(c).cast("int")).alias(f"_{k}{i}") for k, i, c in wanted]
-    boost = reduce(lambda a, b: a + b, [F.when(_matches(c), F.lit(c["boost"])).otherwise(F.lit(0.0)) for _, _, c in wanted])
-    out = hits.groupBy("id").agg(F.round(F.sum(score * boost), 9).alias("score"), *flags)  # rounded, so that the order of summing makes no ties
-    for i in range(len(q.must)):
-        out = out.where(F.col(f"_m{i}") == 1)
-    if q.should and not q.must:
-        out = out.where(reduce(lambda a, b: a | b, [F.col(f"_s{i}") == 1 for i in range(len(q.should))]))
-    if q.must_not:
-        out = out.join(index.postings.where(reduce(lambda a, b: a | b, [_matches(c) for c in q.must_not])).select("id").distinct(), "id", "left_anti")
-    phrases = {tuple(c["phrase"]) for c in q.must if c["phrase"]}
-    if phrases and contents is not None:
-        whole = F.concat(F.lit(" "), F.array_join(terms(F.concat_ws(" ", "title", "content")), " "), F.lit(" "))
-        keep = reduce(lambda a, b: a & b, [F.contains(whole, F.lit(" " + " ".join(p) + " ")) for p in phrases])
-        out = out.join(contents.where(keep).select("id"), "id", "left_semi")
-    return out.select("id", "score")
+    hits = index.postings.where(leaf.matches()).join(index.frequency.where(leaf.matches()), ["field", "term"]).join(F.broadcast(index.stats), "field")  # a row for each field
+    if leaf.kind == "phrase":
+        # the words of a phrase in one field: places of the first word that the others follow in order
+        met = hits.groupBy("field", "id", "dl", "docs", "avgdl").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("dfs"))
+        places = lambda w: F.coalesce(F.element_at("at", F.lit(w)), F.array().cast("array<int>"))
+        follows = lambda p: reduce(lambda a, b: a & b, [F.array_contains(places(w), p + i) for i, w in enumerate(leaf.words)])
+        tf = F.size(F.filter(places(leaf.words[0]), follows))
+        met = met.withColumn("tf", tf).where("tf > 0")
+        part = reduce(lambda a, b: a + b, [bm25(F.col("tf"), F.col("dl"), F.element_at("dfs", F.lit(w)), F.col("docs"), F.col("avgdl")) for w in leaf.words])
+    else:
+        met, part = hits, bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("docs"), F.col("avgdl"))
+    return met.select("id", F.lit(number).alias("leaf"), (part * boosts[F.col("field")] * F.lit(leaf.boost)).alias("score"))
+
+
+def keyword_scores(index: Index, query: str) -> DataFrame:
+    """``(id, score)`` of all notes that match; the fields' BM25 scores times their boosts, summed over the words and phrases that count. A blank query, and one of exclusions alone, matches nothing."""
+    tree = parse_query(query)
+    leaves = tree.leaves()
+    if not any(occur != "must_not" for occur, _ in tree.clauses):
+        return index.postings.sparkSession.createDataFrame([], "id string, score double")
+    hits = reduce(DataFrame.unionByName, [_term_hits(index, leaf, i) for i, leaf in enumerate(leaves)])
+    each = hits.groupBy("id").agg(*[F.sum(F.when(F.col("leaf") == i, F.col("score"))).alias(f"s{i}") for i in range(len(leaves))])
+    number = iter(range(len(leaves)))
+
+    def judged(node: Leaf | Group) -> tuple[Column, Column]:
+        """Whether a note matches a node, and its score there."""
+        if isinstance(node, Leaf):
+            score = F.col(f"s{next(number)}")
+            return score.isNotNull(), F.coalesce(score, F.lit(0.0))
+        parts = [(occur, *judged(child)) for occur, child in node.clauses]
+        both = lambda a, b: a & b
+        match = reduce(both, [~m if occur == "must_not" else m for occur, m, _ in parts if occur != "should"], F.lit(True))
+        if not any(occur == "must" for occur, _, _ in parts):
+            wanted = [m for occur, m, _ in parts if occur == "should"]
+            match = match & (reduce(lambda a, b: a | b, wanted) if wanted else F.lit(False))
+        score = reduce(lambda a, b: a + b, [s for occur, _, s in parts if occur != "must_not"], F.lit(0.0))
+        return match, F.when(match, score).otherwise(F.lit(0.0))
+
+    match, score = judged(tree)
+    return each.where(match).select("id", F.round(score, 9).alias("score"))  # rounded, so that the order of summing makes no ties
 
 
 def top(scores: DataFrame, k: int, key: str = "id") -> DataFrame:
@@ -188,12 +281,13 @@ def keyword_links(index: Index, queries: DataFrame, k: int) -> DataFrame:
     Query syntax is not looked for: everything in a text is words.
     """
     words = queries.select("src", F.explode(terms(F.col("text"))).alias("term")).groupBy("src", "term").agg(F.count("*").alias("times"))
-    holders = index.postings.select("term", "id").distinct()
+    postings = index.postings.drop("positions")
+    holders = postings.select("term", "id").distinct()
     spread = words.join(holders.groupBy("term").agg(F.count("*").alias("notes")), "term", "left")
     rarest = spread.groupBy("src").agg(F.min_by("term", F.struct(F.coalesce("notes", F.lit(0)), "term")).alias("term"), F.count("*").alias("need"))
     others = F.count(F.when(F.col("id") != F.col("src"), 1)).over(Window.partitionBy("src"))
     found = rarest.join(holders, "term").select("src", "id", "need", others.alias("others")).where((F.col("others") >= k) | (F.col("id") != F.col("src"))).drop("others")
-    hits = found.join(words, "src").join(index.postings, ["term", "id"]).join(index.frequency, ["field", "term"]).join(F.broadcast(index.stats), "field")  # five fields
+    hits = found.join(words, "src").join(postings, ["term", "id"]).join(index.frequency, ["field", "term"]).join(F.broadcast(index.stats), "field")  # five fields
     boosts = F.create_map(*[x for f, b in FIELDS.items() for x in (F.lit(f), F.lit(b))])
     score = bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("docs"), F.col("avgdl")) * boosts[F.col("field")] * F.col("times")
     scored = hits.groupBy("src", "id", "need").agg(F.round(F.sum(score), 9).alias("score"), F.countDistinct("term").alias("matched")).where("matched = need")
@@ -271,7 +365,7 @@ def hybrid(keyword: DataFrame, vector: DataFrame, boosts: DataFrame | None, k: i
 
 def overlap_score(query: str, passage: Column) -> Column:
     """A deterministic stand-in for a cross-encoder: the share of the query's distinct terms that the passage holds."""
-    wanted = sorted(set(re.findall("[a-z0-9]+", query.lower())))
+    wanted = sorted(set(_TERM.findall(query.lower())))
     if not wanted:
         return F.lit(0.0)
     return F.size(F.array_intersect(F.array_distinct(terms(passage)), F.array(*[F.lit(w) for w in wanted]))) / F.lit(float(len(wanted)))

@@ -9,7 +9,7 @@ from lorevine.functions import markdown as md
 from lorevine.functions.ids import folder_of, normalize_id, slugify
 from lorevine.operators import compress, graph, models, mutate, relate, retrieve
 from lorevine.operators.increments import latest_changes
-from lorevine.runtime import cut, table
+from lorevine.runtime import cut, shared_dir, table
 from lorevine.sources.notes import chunks, keywords
 
 #: Parameters of the queries.
@@ -192,7 +192,7 @@ def typed_search_body(spark, d):
     return details.join(F.broadcast(types), "folder").select("rec_id", "kind", "importance", "base_tags", md.search_body(F.col("kind"), F.col("body")).alias("body"))
 
 
-@query("SELECT id, CAST(len(t) AS INTEGER) AS n, array_to_string(t, ' ') AS terms FROM (SELECT id, regexp_extract_all(lower(title), '[a-z0-9]+') AS t FROM notes)")
+@query(r"SELECT id, CAST(len(t) AS INTEGER) AS n, array_to_string(t, ' ') AS terms FROM (SELECT id, regexp_extract_all(lower(title), '[\p{L}\p{N}]+') AS t FROM notes)")
 def tokenize_terms(spark, d):
     return _notes(spark, d).select("id", retrieve.terms(F.col("title")).alias("t")).select("id", F.size("t").alias("n"), F.array_join("t", " ").alias("terms"))
 
@@ -387,6 +387,15 @@ def note_context(spark, d):
     return graph.contexts(notes, relate.build_edges(notes))
 
 
+@query(f"""WITH {EDGES_SQL} SELECT 'node' AS kind, id AS a, '' AS b, title AS label, CAST(0 AS INTEGER) AS weight FROM notes UNION ALL SELECT 'edge', source, target, relation_type, weight FROM edges""")
+def graph_export_fields(spark, d):
+    """The fields of the exported JSON lines, read back from them."""
+    notes = _notes(spark, d)
+    x = lambda p: F.get_json_object("json", f"$.{p}")
+    lines = graph.graph_json(notes, relate.build_edges(notes))
+    return lines.select("kind", F.coalesce(x("id"), x("source")).alias("a"), F.coalesce(x("target"), F.lit("")).alias("b"), F.coalesce(x("label"), x("relationType")).alias("label"), F.coalesce(x("weight").cast("int"), F.lit(0)).alias("weight"))
+
+
 @query()
 def graph_export(spark, d):
     notes = _notes(spark, d)
@@ -395,10 +404,10 @@ def graph_export(spark, d):
 
 # ---------------------------------------------------------------- retrieval
 
-INDEX_SQL = f"""
+INDEX_SQL = rf"""
 fields AS (SELECT id, 'title' AS field, title AS v FROM notes UNION ALL SELECT id, 'headings', array_to_string(headings, ' ') FROM notes UNION ALL SELECT id, 'tags', array_to_string(tags, ' ') FROM notes
   UNION ALL SELECT id, 'folder', {FOLDER_SQL} FROM notes UNION ALL SELECT id, 'content', content FROM notes),
-tok AS (SELECT id, field, regexp_extract_all(lower(v), '[a-z0-9]+') AS t FROM fields WHERE coalesce(trim(v), '') <> ''), tk AS (SELECT * FROM tok WHERE len(t) > 0),
+tok AS (SELECT id, field, regexp_extract_all(lower(v), '[\p{{L}}\p{{N}}]+') AS t FROM fields WHERE coalesce(trim(v), '') <> ''), tk AS (SELECT * FROM tok WHERE len(t) > 0),
 stats AS (SELECT field, count(*) AS docs, avg(len(t)) AS avgdl FROM tk GROUP BY field),
 post AS (SELECT field, term, id, dl, count(*) AS tf FROM (SELECT field, id, len(t) AS dl, unnest(t) AS term FROM tk) GROUP BY field, term, id, dl),
 dfs AS (SELECT field, term, count(*) AS df FROM post GROUP BY field, term)"""
@@ -412,13 +421,16 @@ def keyword_sql(name: str, words: list[str]) -> str:
 
 @query(f"WITH {INDEX_SQL} SELECT s.field, CAST(s.docs AS BIGINT) AS docs, round(s.avgdl, 6) AS avgdl, f.term, CAST(f.df AS BIGINT) AS df FROM stats s JOIN dfs f ON s.field = f.field")
 def bm25_stats(spark, d):
-    index = retrieve.build_index(_notes(spark, d))
+    index = _index(spark, d)
     return index.frequency.join(F.broadcast(index.stats), "field").select("field", "docs", F.round("avgdl", 6).alias("avgdl"), "term", "df")  # five fields
 
 
+def _index(spark: SparkSession, d: str) -> retrieve.Index:
+    return retrieve.stored_index(_notes(spark, d), f"{shared_dir(spark)}/lorevine")
+
+
 def _keyword(spark: SparkSession, d: str, text: str) -> DataFrame:
-    notes = _notes(spark, d)
-    return retrieve.keyword_scores(retrieve.build_index(notes), text, notes)
+    return retrieve.keyword_scores(_index(spark, d), text)
 
 
 @query(f"WITH {INDEX_SQL}, {keyword_sql('kw', QUERY.split())} SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, id, round(score, 6) AS score FROM kw ORDER BY score DESC, id LIMIT 20")
@@ -432,6 +444,26 @@ def keyword_syntax(spark, d):
     return _keyword(spark, d, "content:gateway budg* -archive").select("id")
 
 
+HAS_SQL = "(SELECT DISTINCT id FROM post WHERE term = '{}')"
+
+
+@query(f"""WITH {INDEX_SQL}, one AS {HAS_SQL.format('gateway')}, two AS {HAS_SQL.format('budget')}, all_of AS {HAS_SQL.format('index')}, bad AS {HAS_SQL.format('archive')}
+SELECT id FROM (SELECT id FROM one UNION SELECT id FROM two) WHERE id IN (SELECT id FROM all_of) AND id NOT IN (SELECT id FROM bad)""")
+def keyword_group(spark, d):
+    return _keyword(spark, d, "(gateway OR budget) AND index NOT archive").select("id")
+
+
+@query(f"""WITH {INDEX_SQL} SELECT DISTINCT id FROM tk WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' the budget ') UNION
+SELECT id FROM post WHERE term BETWEEN 'gatew' AND 'gatez' AND field = 'title'""")
+def keyword_phrase(spark, d):
+    return _keyword(spark, d, '"the budget" OR title:[gatew TO gatez]').select("id")
+
+
+@query(f"WITH {INDEX_SQL}, {keyword_sql('kw', ['für'])}, {keyword_sql('ru', ['для'])} SELECT id, round(coalesce(kw.score, 0) + coalesce(ru.score, 0), 6) AS score FROM kw FULL JOIN ru USING (id)")
+def keyword_unicode(spark, d):
+    return _keyword(spark, d, "für OR Для").select("id", F.round("score", 6).alias("score"))
+
+
 USABLE_SQL = "len(v) = 96 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0"
 VECTOR_SQL = f"""
 raw_v AS (SELECT entry_id, id, embedding AS v FROM cache_entries), good_v AS (SELECT entry_id, id, CAST(v AS DOUBLE[]) AS v FROM raw_v WHERE {USABLE_SQL}),
@@ -501,7 +533,7 @@ def hybrid_search(spark, d):
 
 
 OVERLAP_WORDS = sorted(set(QUESTION.split()))
-OVERLAP_SQL = f"len(list_filter([{', '.join(repr(w) for w in OVERLAP_WORDS)}], lambda w: list_contains(regexp_extract_all(lower(concat_ws(' ', title, substr(coalesce(content, ''), 1, 512))), '[a-z0-9]+'), w))) / {float(len(OVERLAP_WORDS))}::DOUBLE"
+OVERLAP_SQL = rf"len(list_filter([{', '.join(repr(w) for w in OVERLAP_WORDS)}], lambda w: list_contains(regexp_extract_all(lower(concat_ws(' ', title, substr(coalesce(content, ''), 1, 512))), '[\p{{L}}\p{{N}}]+'), w))) / {float(len(OVERLAP_WORDS))}::DOUBLE"
 
 
 @query(f"WITH {hybrid_sql(40)}, re AS (SELECT n.id, {OVERLAP_SQL} AS score FROM ranked JOIN notes n ON n.id = ranked.id) SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, id, round(score, 6) AS score FROM re ORDER BY score DESC, id LIMIT 10")
@@ -569,8 +601,8 @@ def autolink_new(spark, d):
     return _autolinked(spark, d).select("id", F.array_join("new_links", ",").alias("links"))
 
 
-@query(f"""WITH {INDEX_SQL}, {BODY_SQL},
-qw AS (SELECT n.id AS src, unnest(regexp_extract_all(lower(coalesce(n.title, '') || ' ' || substr(coalesce(b.body, ''), 1, 500)), '[a-z0-9]+')) AS term FROM notes n LEFT JOIN bodies b ON n.id = b.id),
+@query(rf"""WITH {INDEX_SQL}, {BODY_SQL},
+qw AS (SELECT n.id AS src, unnest(regexp_extract_all(lower(coalesce(n.title, '') || ' ' || substr(coalesce(b.body, ''), 1, 500)), '[\p{{L}}\p{{N}}]+')) AS term FROM notes n LEFT JOIN bodies b ON n.id = b.id),
 qt AS (SELECT src, term, count(*) AS times FROM qw GROUP BY src, term), need AS (SELECT src, count(*) AS n FROM qt GROUP BY src),
 sc AS (SELECT qt.src, p.id, count(DISTINCT p.term) AS m, round(sum(qt.times * CASE p.field WHEN 'title' THEN 3.0 WHEN 'content' THEN 1.0 ELSE 2.0 END::DOUBLE * ln(1.0 + (s.docs - f.df + 0.5) / (f.df + 0.5)) * p.tf / (p.tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * p.dl / s.avgdl))), 9) AS score
   FROM qt JOIN post p ON p.term = qt.term JOIN dfs f ON p.field = f.field AND p.term = f.term JOIN stats s ON s.field = p.field GROUP BY qt.src, p.id),
@@ -580,10 +612,7 @@ SELECT n.id, array_to_string(list_sort(list_distinct(list_concat(coalesce(n.wiki
   array_to_string(list_filter(coalesce(f, []), lambda x: NOT coalesce(list_contains(n.wiki_links, x), false)), ',') AS new_links FROM notes n LEFT JOIN ok ON n.id = ok.src""")
 def auto_links(spark, d):
     """Links of every note, given and found from its own text."""
-    notes = _notes(spark, d)
-    index = retrieve.build_index(notes)
-    postings = cut(index.postings, "postings")
-    index = retrieve.Index(postings, index.stats, postings.groupBy("field", "term").agg(F.count("*").alias("df")))
+    notes, index = _notes(spark, d), _index(spark, d)
     queries = notes.select(F.col("id").alias("src"), retrieve.link_query(F.col("title"), md.body(F.col("content"))).alias("text"))
     hits = retrieve.keyword_links(index, queries, 5).select(F.col("src").alias("id"), F.col("id").alias("other"), "score", "rank")
     linked = mutate.autolinks(notes.select("id", F.col("wiki_links").alias("links")), hits)
@@ -719,7 +748,10 @@ def hashed_embedding(spark, d):
     return models.embed(_notes(spark, d).select("id", md.embed_text(F.col("title"), F.col("content")).alias("text")), "id", "text").select(F.col("key").alias("id"), "embedding")
 
 
-@query()
+@query(rf"""
+WITH p AS (SELECT id, lower(regexp_replace(regexp_replace(regexp_replace({NOCODE}, '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[\[([^\]|]*)(?:\|[^\]]*)?\]\]', '\1', 'g'), '[#*_~>|\[\](){{}}]', ' ', 'g')) AS t FROM notes),
+w AS (SELECT id, unnest(regexp_extract_all(t, '[a-zA-Z]{{3,}}')) AS word FROM p), k AS (SELECT id, word, count(*) AS n FROM w WHERE word NOT IN ({', '.join(repr(x) for x in md.KEYWORD_STOP_WORDS)}) GROUP BY id, word),
+r AS (SELECT id, word, row_number() OVER (PARTITION BY id ORDER BY n DESC, word) AS r FROM k) SELECT id, string_agg(word, ',' ORDER BY r) AS keywords FROM r WHERE r <= 15 GROUP BY id""")
 def keyword_lists(spark, d):
     return keywords(_notes(spark, d)).select("id", F.array_join("keywords", ",").alias("keywords"))
 

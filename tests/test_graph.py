@@ -10,9 +10,9 @@ from lorevine.operators import graph, mutate, relate, retrieve
 from lorevine.sources.notes import parse, read_files, write_files
 
 CORPUS = {
-    "spring.md": "# Spring Framework\nSpring Boot makes it easy to create stand-alone applications.\nSee also [[kafka.md]] and [[redis.md]].\n#backend #java\n",
-    "kafka.md": "# Apache Kafka\nKafka is a distributed streaming platform.\nWorks well with #backend systems.\n",
-    "redis.md": "# Redis\nRedis is an in-memory data store. Useful for caching in #backend apps.\nSee [[spring.md]] for integration tips.\n",
+    "queue.md": "# Queue of tasks\nTasks wait here until a worker takes one; each is given out once.\nCompare [[worker.md]] and [[store.md]].\n#runtime #design\n",
+    "worker.md": "# Worker pool\nA pool of processes that drain whatever is pending, in #runtime order.\n",
+    "store.md": "# Store\nKeeps what finished, for replay and audit of the #runtime side.\nFilled from [[queue.md]] at night.\n",
 }
 
 
@@ -25,7 +25,10 @@ def edges(spark, corpus):
 
 
 def test_three_notes(spark):
-    assert edges(spark, CORPUS) == {("kafka.md", "redis.md"): (3, "related_topic"), ("kafka.md", "spring.md"): (9, "references"), ("redis.md", "spring.md"): (15, "references")}
+    # one shared tag each; one link, then links in both directions; keywords shared: none, "worker", "queue"
+    got = edges(spark, CORPUS)
+    assert {k: t for k, (_, t) in got.items()} == {("store.md", "worker.md"): "related_topic", ("queue.md", "worker.md"): "references", ("queue.md", "store.md"): "references"}
+    assert got["store.md", "worker.md"][0] >= 2 and got["queue.md", "worker.md"][0] >= 5 + 2 and got["queue.md", "store.md"][0] >= 10 + 2
 
 
 def test_weights(spark):
@@ -45,11 +48,12 @@ def test_bucket_guard(spark, size, pairs):
 
 
 def test_traversal(spark):
-    corpus = {"spring.md": "# Spring\n[[kafka.md]]\n[[redis.md]]\n#backend\n", "kafka.md": "# Kafka\n#backend\n", "redis.md": "# Redis\n#backend\n", "other.md": "# Other\n#frontend\n"}
+    corpus = {"hub.md": "# Hub\n[[left.md]]\n[[right.md]]\n#near\n", "left.md": "# Left\n[[far.md]]\n#near\n", "right.md": "# Right\n#near\n", "far.md": "# Far\n#away\n", "island.md": "# Island\n#alone\n"}
     adjacent = graph.adjacency(relate.build_edges(notes(spark, corpus)))
-    assert [r.id for r in graph.traverse(adjacent, "spring.md", 1, 5, 1).orderBy("rank").collect()] == ["kafka.md", "redis.md"]
-    assert graph.traverse(adjacent, "nobody.md", 2, 5, 1).count() == 0
-    assert graph.traverse(adjacent, "spring.md", 0, 5, 1).count() == 0
+    walk = lambda *a: [(r.id, r.depth) for r in graph.traverse(adjacent, *a).orderBy("rank").collect()]
+    assert walk("hub.md", 1, 5, 1) == [("left.md", 1), ("right.md", 1)]
+    assert walk("hub.md", 2, 5, 1) == [("left.md", 1), ("right.md", 1), ("far.md", 2)]
+    assert walk("nobody.md", 2, 5, 1) == [] and walk("hub.md", 0, 5, 1) == []
 
 
 def test_limit_comes_before_visited(spark):
@@ -75,34 +79,42 @@ def test_path_notes(spark, tmp_path):
 
 
 def test_keyword_search(spark):
-    corpus = {"spring.md": "# Spring\nSpring Boot auto-configuration.\n#java\n", "kafka.md": "# Kafka\nKafka streams for event streaming.\n#java\n", "postgres.md": "# PostgreSQL\nRelational database management system.\n#database\n"}
+    corpus = {"tea.md": "# Green tea\nSteep green leaves; green tea is best at 80 degrees.\n#drink\n", "pot.md": "# Tea pot\nA pot of clay, to steep in.\n#ware\n", "чай.md": "# Зелёный чай\nЧай заваривают дважды.\n#drink\n", "salt.md": "# Salt\nPreserve with salt and lemon.\n#food\n"}
     n = notes(spark, corpus).cache()
     index = retrieve.build_index(n)
-    assert [r.id for r in retrieve.keyword_search(index, "Spring Boot", 5).collect()] == ["spring.md"]
-    ids = lambda q: sorted(r.id for r in retrieve.keyword_scores(index, q, n).collect())
-    assert ids("") == []
-    assert ids("kafka OR postgresql") == ["kafka.md", "postgres.md"]
-    assert ids("tags:java -kafka") == ["spring.md"]
-    assert ids('"event streaming"') == ["kafka.md"] and ids('"streaming event"') == []
-    assert ids("strea*") == ["kafka.md"] and ids("kafca~1") == ["kafka.md"]
-    assert ids('broken " quote') == []
+    assert [r.id for r in retrieve.keyword_search(index, "Green steep", 5).collect()] == ["tea.md"]
+    ids = lambda q: sorted(r.id for r in retrieve.keyword_scores(index, q).collect())
+    assert ids("") == [] and ids("-tea") == []
+    assert ids("salt OR pot") == ["pot.md", "salt.md"] and ids("steep AND (pot OR salt)") == ["pot.md"]
+    assert ids("(salt OR pot) AND nothing") == [] and ids("tea -(clay OR salt)") == ["tea.md"]
+    assert ids("tags:drink -green") == ["чай.md"] and ids("чай") == ["чай.md"] and ids("ЗЕЛЁНЫЙ") == ["чай.md"]
+    assert ids('"green tea"') == ["tea.md"] and ids('"tea green"') == [] and ids('"tea green" OR pot') == ["pot.md"] and ids('steep -"green tea"') == ["pot.md"]
+    assert ids("prese*") == ["salt.md"] and ids("lemno~2") == ["salt.md"] and ids("[le TO lez] steep") == ["tea.md"] and ids("/le(mon|aves)/") == ["salt.md", "tea.md"]
+    assert ids('broken " quote') == [] and ids('tea (steep') == ids("tea steep") and ids("tea OR") == []
+    one, two = ({r.id: r.score for r in retrieve.keyword_scores(index, q).collect()} for q in ("pot", "pot^3"))
+    assert two["pot.md"] == pytest.approx(3 * one["pot.md"])
 
 
 def test_stored_index(spark, tmp_path):
     n = notes(spark, CORPUS)
+    n.drop("ord").withColumn("ord", F.lit(1)).write.parquet(f"{tmp_path}/notes")
     index = retrieve.build_index(n)
-    retrieve.write_index(index, f"{tmp_path}/index")
-    stored = retrieve.read_index(spark, f"{tmp_path}/index")
-    want = [tuple(r) for r in retrieve.keyword_search(index, "kafka", 5).collect()]
-    assert want and [tuple(r) for r in retrieve.keyword_search(stored, "kafka", 5).collect()] == want
-    changed = parse(spark.createDataFrame([(9, "kafka.md", "# Queues\nNothing here.")], "ord long, id string, content string"))
-    after = retrieve.upsert_index(stored, changed, n.where("id = 'redis.md'").select("id"))
-    assert {r.id for r in after.select("id").distinct().collect()} == {"spring.md", "kafka.md"}
-    assert after.where("id = 'kafka.md' AND term = 'streaming'").count() == 0
+    stored = retrieve.stored_index(spark.read.parquet(f"{tmp_path}/notes"), f"file://{tmp_path}")
+    again = retrieve.stored_index(spark.read.parquet(f"{tmp_path}/notes"), f"file://{tmp_path}")
+    assert stored.postings.inputFiles() == again.postings.inputFiles()
+    want = [tuple(r) for r in retrieve.keyword_search(index, "pool", 5).collect()]
+    assert want and [tuple(r) for r in retrieve.keyword_search(stored, "pool", 5).collect()] == want
+    new = {**CORPUS, "worker.md": "# Hands\nNothing here but a queue."}
+    new.pop("store.md")
+    changed = notes(spark, {"worker.md": new["worker.md"]})
+    after, fresh = retrieve.upsert_index(stored, changed, n.where("id = 'store.md'").select("id")), retrieve.build_index(notes(spark, new))
+    for name in ("postings", "stats", "frequency"):
+        one, two = getattr(after, name), getattr(fresh, name)
+        assert sorted(map(tuple, one.select(two.columns).collect())) == sorted(map(tuple, two.collect()))
 
 
 def test_links_from_own_text(spark):
-    corpus = {**CORPUS, "stub.md": "# Kafka\n", "copy.md": CORPUS["kafka.md"], "redis-apps.md": "# Redis\n#backend apps, redis apps\n", "none.md": "# !\n", "unheard.md": "# Kafka unheard\nzebra " + "x" * 600}
+    corpus = {**CORPUS, "stub.md": "# Worker\n", "copy.md": CORPUS["worker.md"], "replay.md": "# Store\n#runtime replay, store replay\n", "none.md": "# !\n", "unheard.md": "# Worker unheard\nzebra " + "x" * 600}
     n = notes(spark, corpus).cache()
     index = retrieve.build_index(n)
     texts = n.select(F.col("id").alias("src"), retrieve.link_query(F.col("title"), body(F.col("content"))).alias("text"))
@@ -113,7 +125,7 @@ def test_links_from_own_text(spark):
         found = {r.src: retrieve.keyword_search(index, " ".join(re.findall("[a-z0-9]+", r.text.lower())), k).orderBy("rank").collect() for r in texts.collect()}
         want = {src: [(h.id, h.score) for h in hits if h.id != src] for src, hits in found.items()}
         assert got == {src: hits for src, hits in want.items() if hits}
-    assert [i for i, _ in got["copy.md"]] == ["kafka.md"] and len(got["stub.md"]) > 1 and "redis.md" in dict(got["redis-apps.md"])
+    assert [i for i, _ in got["copy.md"]] == ["worker.md"] and len(got["stub.md"]) > 1 and "store.md" in dict(got["replay.md"])
     assert not {"none.md", "unheard.md"} & set(got)
 
 
