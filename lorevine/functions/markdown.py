@@ -214,7 +214,7 @@ def size_bucket(n: Column) -> Column:
     return F.when(n <= 0, F.lit("0")).otherwise(F.concat(low.cast("string"), F.lit("-"), (low * 2).cast("string")))
 
 
-def content_signature(content: Column, kind: str = "text") -> Column:
+def content_signature(content: Column, kind: str) -> Column:
     """First 24 hex digits of the SHA-256 of a text's shape: a label of its kind, size buckets and flags, no content."""
     content = text(content)
     words = F.filter(F.split(content, r"\s+"), lambda x: x != "")

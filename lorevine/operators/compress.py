@@ -75,6 +75,20 @@ def marked(original: Column, compressed: Column) -> Column:
     return F.when((o > 0) & (c / o < MARK_BELOW), F.concat(compressed, note)).otherwise(compressed)
 
 
+def word_max(tokens: DataFrame, chunk: list[str]) -> DataFrame:
+    """``(chunk..., word_id, score)``: of ``tokens(chunk..., word_id, score)`` the best score of each word's tokens; tokens of no word (null) are left out."""
+    return tokens.where(F.col("word_id").isNotNull()).groupBy(*chunk, "word_id").agg(F.max("score").alias("score"))
+
+
+def routed(content: Column, kind: Column, compressors: dict[str, Callable[[Column], Column]], fallback: Callable[[Column], Column] = compress_threshold) -> tuple[Column, Column]:
+    """``(compressed, skipped)``: each text by the compressor of its kind, others by ``fallback``; texts below ``LEAST_CHARS``, and results that are no shorter, are passed on as they are and marked skipped."""
+    way = fallback(content)
+    for name, compressor in compressors.items():
+        way = F.when(kind == name, compressor(content)).otherwise(way)
+    skipped = F.coalesce((F.length(content) < LEAST_CHARS) | (F.length(way) >= F.length(content)), F.lit(True))
+    return F.when(skipped, content).otherwise(way), skipped
+
+
 def originals(df: DataFrame, content: str) -> DataFrame:
     """``(hash, original)``: the side table that markers point to."""
     return df.where(F.col(content).isNotNull()).select(F.substring(F.sha2(content, 256), 1, 24).alias("hash"), F.col(content).alias("original")).distinct()

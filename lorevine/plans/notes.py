@@ -179,6 +179,7 @@ def summary_line(spark, d):
     return table(spark, d, "note_details").select("rec_id", md.summary_line(F.col("body")).alias("line"))
 
 
+# Folder, importance and tags of the typed notes.
 TYPES = {"skill": ("skills", 8, "skill,reusable"), "instruction": ("instructions", 9, "instruction,agent-rule"), "context": ("context", 6, "context,reference"), "memory": ("memory", 5, "memory,log")}
 _TYPE_ROWS = ", ".join(f"('{k}', '{f}', {i}, '{t}')" for k, (f, i, t) in TYPES.items())
 
@@ -244,7 +245,7 @@ SELECT id, substr(sha256(concat_ws('|', 'text', 'chars:' || {bucket_sql('length(
  'paths:' || CASE WHEN regexp_matches(content, '[/\\]') THEN '1' ELSE '0' END, 'assign:' || CASE WHEN len(list_filter(list_slice(w, 1, 200), lambda x: contains(x, '='))) > 0 THEN '1' ELSE '0' END,
  'brackets:' || CASE WHEN regexp_matches(content, '[{{}}\[\]()]') THEN '1' ELSE '0' END, 'errors:' || CASE WHEN regexp_matches(lower(content), 'error|exception|traceback|failed|fatal') THEN '1' ELSE '0' END)), 1, 24) AS signature FROM c""")
 def content_signature(spark, d):
-    return _notes(spark, d).select("id", md.content_signature(F.col("content")).alias("signature"))
+    return _notes(spark, d).select("id", md.content_signature(F.col("content"), "text").alias("signature"))
 
 
 @query(f"""WITH {BODY_SQL} SELECT n.id, n.title, array_to_string(n.tags, ',') AS tags, array_to_string(n.headings, ',') AS headings, array_to_string(n.wiki_links, ',') AS links, coalesce(b.body, '') AS body FROM notes n LEFT JOIN bodies b ON n.id = b.id""")
@@ -566,6 +567,21 @@ def ask_vault(spark, d):
     return grouped.select("id", "first_rank", (F.floor(F.col("score") * 100 + 0.5) / 100).alias("score"), F.array_join(F.transform("chunks", lambda x: x.cast("string")), ",").alias("chunks"))
 
 
+CHARS_SQL = "list_filter(string_split_regex({0}, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+
+
+@query(rf"""WITH {CHUNK_SQL}, {CHUNKS_SQL}, hit AS (SELECT ch.r, ch.id, regexp_replace(regexp_replace(regexp_replace(c.text, '(?i)\b(?:{'|'.join(md.FILTER_STOP_WORDS)})\b', '', 'g'), '[ \t]{{2,}}', ' ', 'g'), {TRIM}) AS text FROM ch JOIN chunks c ON c.id = ch.id AND c.chunk_index = ch.chunk_index),
+kp AS (SELECT *, list_filter({CHARS_SQL.format('text')}, lambda w: least(1.0, length(regexp_replace(w, '[^A-Za-z0-9]', '', 'g')) / 12.0::DOUBLE) > 0.5) AS kept FROM hit),
+sh AS (SELECT r, id, CASE WHEN length(text) < 300 OR len({CHARS_SQL.format('text')}) < 10 OR len(kept) = 0 THEN text ELSE array_to_string(kept, ' ') END AS text FROM kp)
+SELECT id, CAST(min(r) AS INTEGER) AS first_rank, string_agg(text, chr(10) || chr(10) ORDER BY r) AS passages FROM sh GROUP BY id""")
+def ask_vault_passages(spark, d):
+    """The texts of the chunks found, by note in order of rank: without stop words, long ones compressed; chunks that the note has no text for are passed over."""
+    hits = _chunk_hits(spark, d, 20).join(chunks(_notes(spark, d)), ["id", "chunk_index"])
+    shown = hits.select("id", "rank", compress.compress_long(md.strip_stop_words(F.col("text"))).alias("text"))
+    passages = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n\n")  # of at most 20 hits
+    return shown.groupBy("id").agg(F.min("rank").alias("first_rank"), passages.alias("passages"))
+
+
 @query(f"WITH {hybrid_sql(5)} SELECT r.id, floor(score * 100 + 0.5) / 100 AS score, substr(n.content, 1, 600) AS excerpt FROM ranked r JOIN notes n ON n.id = r.id")
 def gather_sources(spark, d):
     return _hybrid(spark, d, 5).join(_notes(spark, d).select("id", "content"), "id").select("id", (F.floor(F.col("score") * 100 + 0.5) / 100).alias("score"), F.substring("content", 1, 600).alias("excerpt"))
@@ -664,6 +680,16 @@ def compression_savings(spark, d):
     return done.select("doc_id", *[(F.round(cols[n], 6) if n == "savings_percentage" else cols[n]).alias(n) for n in ("original_tokens", "compressed_tokens", "tokens_saved", "savings_percentage")])
 
 
+@query(rf"""WITH w AS (SELECT id, word, pos FROM (SELECT id, unnest(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]+')) AS word, generate_subscripts(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]+'), 1) - 1 AS pos FROM notes)),
+t AS (SELECT id, pos, unnest(list_transform(range(0, CAST(ceil(length(word) / 4.0) AS BIGINT)), lambda i: substr(word, CAST(i AS BIGINT) * 4 + 1, 4))) AS piece FROM w)
+SELECT id, CAST(pos AS INTEGER) AS word_id, round(max(least(1.0, length(regexp_replace(piece, '[^A-Za-z0-9]', '', 'g')) / 12.0::DOUBLE)), 6) AS score FROM t GROUP BY id, pos""")
+def token_word_max(spark, d):
+    """Scores of words from scores of their pieces of four characters."""
+    words = _notes(spark, d).select("id", F.posexplode(retrieve.terms(F.col("title"))).alias("word_id", "word"))
+    pieces = words.select("id", "word_id", F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.length("word") / 4).cast("int") - 1), lambda i: F.substr("word", i * 4 + 1, F.lit(4)))).alias("piece"))
+    return compress.word_max(pieces.select("id", "word_id", compress.length_score(F.col("piece")).alias("score")), ["id"]).withColumn("score", F.round("score", 6))
+
+
 ROLE_SQL = "CASE WHEN starts_with(coalesce(source, ''), 'agent') THEN 'assistant' WHEN starts_with(coalesce(source, ''), 'export') THEN 'tool' ELSE 'user' END"
 
 

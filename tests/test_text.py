@@ -7,6 +7,7 @@ from lorevine.functions import markdown as md
 from lorevine.functions.ids import normalize_id
 from lorevine.operators import compress
 from lorevine.operators.models import encode_pair, pretokenize, wordpiece
+from lorevine.runtime import cut, discard
 
 
 def one(spark, column, **values):
@@ -102,3 +103,24 @@ def test_wordpiece():
     assert wordpiece("x" * 101, vocabulary) == ["[UNK]"]
     ids, kinds = encode_pair("x x x x", "unable x", vocabulary, 9)
     assert ids == [0, 6, 6, 6, 1, 3, 4, 6, 1] and kinds == [0] * 5 + [1] * 4
+
+
+def test_routed_compression(spark):
+    long = " ".join(["extraordinary", "a"] * 40)
+    df = spark.createDataFrame([("log", long), ("text", long), ("log", "short"), (None, long), ("text", None), ("keep", long)], "k string, t string")
+    got, skipped = compress.routed(F.col("t"), F.col("k"), {"log": lambda c: F.substring(c, 1, 5), "keep": lambda c: c})
+    want = [("extra", False), (" ".join(["extraordinary"] * 40), False), ("short", True), (" ".join(["extraordinary"] * 40), False), (None, True), (long, True)]
+    assert [tuple(r) for r in df.select(got, skipped).collect()] == want
+
+
+def test_word_max(spark):
+    df = spark.createDataFrame([(1, 0, 0.2), (1, 0, 0.7), (1, 1, 0.1), (1, None, 0.9)], "doc int, word_id int, score double")
+    assert sorted(map(tuple, compress.word_max(df, ["doc"]).collect())) == [(1, 0, 0.7), (1, 1, 0.1)]
+
+
+def test_discard(spark):
+    one = cut(spark.range(3))
+    assert one.count() == 3
+    discard(one)
+    with pytest.raises(Exception):
+        one.collect()
