@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorevine.runtime import cut
+from lorevine.runtime import cut, discard
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.groupBy("hi").agg(F.min("lo").alias("m"))
         # small star: every smaller neighbour, and the node itself, is linked to the least
         moved = large.join(small, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
-        edges = cut(moved.unionByName(small.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        last, edges = edges, cut(moved.unionByName(small.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        discard(last)
         before, mark = mark, _mark(edges)
         if mark == before:
             break

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorevine.runtime import cut
+from lorevine.runtime import cut, discard
 
 #: Items of a knock-out round: a bound on what one task folds of a group.
 FOLD = 512
@@ -114,7 +114,9 @@ def leaders(scored: DataFrame, group: str, item: str, scores: list[str]) -> Data
     while True:
         step = left.groupBy("g", F.floor((F.col("r") - 1) / FOLD).alias("f")).agg(F.sort_array(F.collect_list(F.struct("r", "x"))).alias("xs"))
         champion = F.aggregate(F.slice("xs", 2, FOLD), F.get("xs", F.lit(0))["x"], lambda best, y: F.when(_beats(y["x"], best, scores) > 0, y["x"]).otherwise(best))
-        left = cut(step.select("g", (F.col("f") + 1).alias("r"), champion.alias("x")), "round")
+        last, left = left, cut(step.select("g", (F.col("f") + 1).alias("r"), champion.alias("x")), "round")
+        if last is not rest:
+            discard(last)
         if not left.where("r > 1").limit(1).count():
             break
     found = heads.unionByName(_leading(rest, left.select("g", F.col("x").alias("best")), scores))
