@@ -6,7 +6,8 @@ hits both measures are taken exactly: the share of the item's distinct five-word
 substituted words inside such windows count.
 
 The documents are read once, whatever the number of items, and only hits are shuffled. The filter has 16 bits for each item hash and at most ``MOST_BITS``; a larger item table makes it less selective and no result
-different. The items' windows are sent to the executors if they are few (counted first, at most ``SENT`` rows), else joined by shuffling.
+different. If the items' windows are few (counted first, at most ``SENT``), they are sent to the executors and joined there, where all hits of a document lie, and only pairs that reach the measure leave the
+task; else hits and windows are joined by shuffling.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from lorevine.llm.segments import _mix
 SPAN = 5
 #: Positions of a window that count: all of them, and the masks with a gap.
 EXACT, MASKS = (0, 1, 2, 3, 4), ((0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))
-#: Most bits of the filter, bits of one of its rows, and most item windows that are sent to all executors (40 bytes each).
-MOST_BITS, BLOCK_BITS, SENT = 1 << 29, 1 << 16, 500_000
+#: Most bits of the filter, bits of one of its rows, and most item windows that are sent to all executors (about 100 bytes each).
+MOST_BITS, BLOCK_BITS, SENT = 1 << 29, 1 << 16, 1_000_000
 #: Words of documents that are worked on at once.
 SLICE = 500_000
 
@@ -131,6 +132,62 @@ def _hits(shared):
     return run
 
 
+class _Items:
+    """The windows of few items, indexed by each of their hashes."""
+
+    def __init__(self, table: pa.Table):
+        names = table.column("item").combine_chunks().dictionary_encode()
+        self.names, self.item = names.dictionary, names.indices.to_numpy().astype(np.int64)
+        self.start, self.grams, self.words = (table.column(c).to_numpy().astype(np.int64) for c in ("start", "grams", "words"))
+        first = np.unique(self.item, return_index=True)[1]
+        self.grams, self.words = self.grams[first], self.words[first]
+        self.tables = []
+        for c in ("m0", "m1", "m2", "exact"):
+            h = table.column(c).to_numpy()
+            order = np.argsort(h, kind="stable")
+            self.tables.append((*np.unique(h[order], return_index=True, return_counts=True), order))
+
+    def hits(self, which: int, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, window)`` of every equal hash, each once."""
+        keys, first, count, order = self.tables[which]
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        ok = (keys[at] == hashes) & (rows >= 0)
+        both = np.unique(rows[ok] * np.int64(len(keys)) + at[ok])
+        row, at = both // len(keys), both % len(keys)
+        n = count[at]
+        return np.repeat(row, n), order[np.repeat(first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
+
+def _measured(shared, least: float):
+    """``(doc, item, shared, tolerant)`` of the pairs of a batch that reach ``least``; all windows of a document lie in one piece."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        items = shared.value
+        total = len(items.names)
+        for batch in batches:
+            for ids, owner, _ in _pieces(batch):
+                found = [items.hits(i, _windows(ids, m), owner) for i, m in enumerate((*MASKS, EXACT))]
+                pairs = np.zeros(0, dtype=np.int64)
+                for row, window in found:
+                    pair, n = np.unique(row * total + items.item[window], return_counts=True)
+                    pairs = np.union1d(pairs, pair[n >= np.ceil(items.grams[pair % total] * least - 1e-9)])
+                if not len(pairs):
+                    continue
+                exact = np.searchsorted(pairs, x := found[3][0] * total + items.item[found[3][1]])
+                same = pairs[np.minimum(exact, len(pairs) - 1)] == x
+                shares = np.bincount(exact[same], minlength=len(pairs)) / items.grams[pairs % total]
+                # words of the item that lie in a hit window, one number for each pair and place
+                x = np.concatenate([row * total + items.item[window] for row, window in found[:3]])
+                start = np.concatenate([items.start[window] for _, window in found[:3]])
+                at = np.minimum(np.searchsorted(pairs, x), len(pairs) - 1)
+                keep = pairs[at] == x
+                width = items.words.max() + SPAN
+                places = np.unique((at[keep][:, None] * width + start[keep][:, None] + np.arange(SPAN)).ravel())
+                cover = np.bincount(places // width, minlength=len(pairs)) / items.words[pairs % total]
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(pairs // total)), items.names.take(pa.array(pairs % total)), pa.array(shares), pa.array(cover)], names=["doc", "item", "shared", "tolerant"])
+    return run
+
+
 def leaked(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least: float = 0.5) -> DataFrame:
     """``(doc, item, shared, tolerant)`` for every document and item where seed hits cover ``least`` of the item's distinct windows under some mask, or exact ones do.
 
@@ -144,11 +201,15 @@ def leaked(documents: DataFrame, key: str, text: str, items: DataFrame, item_key
     count = known.count()
     if not count:
         return documents.sparkSession.createDataFrame([], f"doc {kind}, item {item_kind}, shared double, tolerant double")
+    if count <= SENT:
+        index = documents.sparkSession.sparkContext.broadcast(_Items(known.toArrow()))
+        found = _numbered(documents, key, text).mapInArrow(_measured(index, least), f"doc {kind}, item {item_kind}, shared double, tolerant double")
+        return found.groupBy("doc", "item").agg(F.max("shared").alias("shared"), F.max("tolerant").alias("tolerant"))
     field = documents.sparkSession.sparkContext.broadcast(_filter(known, count))
     hits = _numbered(documents, key, text).mapInArrow(_hits(field), f"doc {kind}, mask byte, hash long")
     seeds = F.array(*[F.struct(F.lit(i).cast("byte").alias("mask"), F.col(c).alias("hash")) for i, c in enumerate(("m0", "m1", "m2", "exact"))])
     rows = known.select("item", "grams", "words", "start", F.explode(seeds).alias("x")).select("item", "grams", "words", "start", "x.mask", "x.hash")
-    met = hits.join(F.broadcast(rows) if count * 4 <= SENT else rows, ["mask", "hash"])
+    met = hits.join(rows, ["mask", "hash"])
     # one row for each window of the item that is hit in the document, then one for each pair
     window = met.groupBy("doc", "item", "start").agg(F.first("grams").alias("grams"), F.first("words").alias("words"), *[F.max((F.col("mask") == i).cast("int")).alias(f"h{i}") for i in range(4)])
     pair = window.groupBy("doc", "item").agg(F.first("grams").alias("grams"), F.first("words").alias("words"), *[F.sum(f"h{i}").alias(f"n{i}") for i in range(4)], F.sort_array(F.collect_list("start")).alias("at"))
