@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lorevine.functions import markdown as md
 from lorevine.functions.ids import normalize_id
+from lorevine.runtime import cut
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
@@ -21,7 +22,8 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     base = "file:" + root.rstrip("/") + "/" if root.startswith("/") else root.rstrip("/") + "/"
     files = reader.load(root).select(F.regexp_replace("path", r"^file:/+", "file:/").alias("path"), "content", F.unix_millis("modificationTime").alias("modified_ms"))
     notes = files.select(F.expr(f"substring(path, {len(base) + 1})").alias("id"), F.decode("content", "UTF-8").alias("content"), "modified_ms")
-    ranged = notes.repartitionByRange("id").withColumn("_p", F.spark_partition_id())
+    # written once: counts and numbers must come from the same partitions
+    ranged = cut(notes.repartitionByRange("id").withColumn("_p", F.spark_partition_id()), "files")
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))
     place = F.row_number().over(Window.partitionBy("_p").orderBy("id"))
     return ranged.withColumn("_i", place).join(counts, "_p").select((F.col("_before") + F.col("_i") - 1).alias("ord"), "id", "content", "modified_ms")
