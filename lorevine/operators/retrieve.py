@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from lorevine.functions.ids import folder_of
 from lorevine.functions.markdown import text
 from lorevine.functions.words import words
+from lorevine.operators import contain
+from lorevine.runtime import cut
 
 #: Boosts of the indexed fields.
 FIELDS = {"title": 3.0, "headings": 2.0, "tags": 2.0, "folder": 2.0, "content": 1.0}
@@ -39,10 +41,15 @@ class Index:
     frequency: DataFrame
 
 
+def field_values() -> dict[str, Column]:
+    """The text of each field, from the columns of a note."""
+    joined = {"headings": F.array_join("headings", " "), "tags": F.array_join("tags", " "), "folder": folder_of(F.col("id"))}
+    return {f: joined.get(f, F.col(f)) for f in FIELDS}
+
+
 def field_texts(notes: DataFrame) -> DataFrame:
     """``(id, field, value)`` of the fields that a note has; an empty field is none."""
-    joined = {"headings": F.array_join("headings", " "), "tags": F.array_join("tags", " "), "folder": folder_of(F.col("id"))}
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), joined.get(f, F.col(f)).alias("value")) for f in FIELDS])
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), value.alias("value")) for f, value in field_values().items()])
     return notes.select("id", F.explode(pairs).alias("x")).select("id", F.col("x.field").alias("field"), F.col("x.value").alias("value")).where(F.coalesce(F.trim("value"), F.lit("")) != "")
 
 
@@ -276,23 +283,33 @@ def link_query(title: Column, body: Column) -> Column:
 def keyword_links(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """``(src, id, score, rank)``: for each of ``queries(src, text)`` the other notes among the ``k`` that ``keyword_search`` gives for the words of ``text``, in one pass.
 
-    All words must match (a repeated one counts again), so the candidates of a query are the notes with its rarest word; texts without words find nothing.
+    All words must match (a repeated one counts again); texts without words find nothing.
     The note ``src`` takes one of the ``k`` places, so it is scored only where ``k`` other candidates want them; ``rank`` gives the order.
     Query syntax is not looked for: everything in a text is words.
     """
-    words = queries.select("src", F.explode(terms(F.col("text"))).alias("term")).groupBy("src", "term").agg(F.count("*").alias("times"))
-    postings = index.postings.drop("positions")
-    holders = postings.select("term", "id").distinct()
-    spread = words.join(holders.groupBy("term").agg(F.count("*").alias("notes")), "term", "left")
-    rarest = spread.groupBy("src").agg(F.min_by("term", F.struct(F.coalesce("notes", F.lit(0)), "term")).alias("term"), F.count("*").alias("need"))
-    others = F.count(F.when(F.col("id") != F.col("src"), 1)).over(Window.partitionBy("src"))
-    found = rarest.join(holders, "term").select("src", "id", "need", others.alias("others")).where((F.col("others") >= k) | (F.col("id") != F.col("src"))).drop("others")
-    hits = found.join(words, "src").join(postings, ["term", "id"]).join(index.frequency, ["field", "term"]).join(F.broadcast(index.stats), "field")  # five fields
+    fields = index.postings.groupBy("id", "field").agg(F.array_join(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))), " ").alias("value"))
+    return _links(fields.groupBy("id").agg(F.collect_list(F.struct("field", "value")).alias("held")), index.frequency, index.stats, queries, k)
+
+
+def note_links(notes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``keyword_links`` over the index of ``notes``, of which only frequencies are made: no posting is written or shuffled."""
+    documents = notes.select("id", F.filter(F.array(*[F.struct(F.lit(f).alias("field"), value.alias("value")) for f, value in field_values().items()]), lambda x: F.trim(x["value"]) != "").alias("held"))
+    texts = documents.select(F.explode("held").alias("x")).select("x.field", contain.split(F.col("x.value")).alias("t"))
+    # a null stands for the field itself, so that one pass counts both; it gives the number of texts that have words
+    each = texts.select("field", F.size("t").alias("dl"), F.explode(F.when(F.size("t") > 0, F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string"))))).alias("term"))
+    counted = cut(each.groupBy("field", "term").agg(F.count("*").alias("df"), F.avg("dl").alias("avgdl")), "frequency")
+    stats = counted.where("term IS NULL").select("field", F.col("df").alias("docs"), "avgdl")
+    return _links(documents, counted.where("term IS NOT NULL").select("field", "term", "df"), stats, queries, k)
+
+
+def _links(documents: DataFrame, frequency: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    matches, asked = contain.holders(queries, documents, frequency, k)
     boosts = F.create_map(*[x for f, b in FIELDS.items() for x in (F.lit(f), F.lit(b))])
     score = bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("docs"), F.col("avgdl")) * boosts[F.col("field")] * F.col("times")
-    scored = hits.groupBy("src", "id", "need").agg(F.round(F.sum(score), 9).alias("score"), F.countDistinct("term").alias("matched")).where("matched = need")
-    place = Window.partitionBy("src").orderBy(F.col("score").desc(), "id")
-    return scored.select("src", "id", "score", F.row_number().over(place).alias("rank")).where((F.col("rank") <= k) & (F.col("id") != F.col("src")))
+    scored = matches.join(frequency, ["field", "term"]).join(F.broadcast(stats), "field").groupBy("key", "id").agg(F.round(F.sum(score), 9).alias("score"))  # five fields
+    place = Window.partitionBy("key").orderBy(F.col("score").desc(), "id")
+    best = scored.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    return asked.join(best, "key").where(F.col("id") != F.col("src")).select("src", "id", "score", "rank")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -628,9 +628,9 @@ SELECT n.id, array_to_string(list_sort(list_distinct(list_concat(coalesce(n.wiki
   array_to_string(list_filter(coalesce(f, []), lambda x: NOT coalesce(list_contains(n.wiki_links, x), false)), ',') AS new_links FROM notes n LEFT JOIN ok ON n.id = ok.src""")
 def auto_links(spark, d):
     """Links of every note, given and found from its own text."""
-    notes, index = _notes(spark, d), _index(spark, d)
+    notes = _notes(spark, d)
     queries = notes.select(F.col("id").alias("src"), retrieve.link_query(F.col("title"), md.body(F.col("content"))).alias("text"))
-    hits = retrieve.keyword_links(index, queries, 5).select(F.col("src").alias("id"), F.col("id").alias("other"), "score", "rank")
+    hits = retrieve.note_links(notes, queries, 5).select(F.col("src").alias("id"), F.col("id").alias("other"), "score", "rank")
     linked = mutate.autolinks(notes.select("id", F.col("wiki_links").alias("links")), hits)
     return linked.select("id", F.array_join(F.array_sort("all_links"), ",").alias("links"), F.array_join("new_links", ",").alias("new_links"))
 
